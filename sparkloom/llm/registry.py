@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import minhash
+from . import bpe, embed_dedup, media_gif, minhash, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _shipped(query: Query) -> Query:
+def shipped(query: Query) -> Query:
+    """The query, after sending this package to the executors."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
         return query(spark, sf_dir)
@@ -21,11 +23,16 @@ def _shipped(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    name: _shipped(query)
+    name: shipped(query)
     for name, query in {
+        "op1_embedding_neardup": embed_dedup.query,
+        "op4_media_gif": media_gif.query,
+        "op5_bpe": bpe.query,
+        "op6_mixing": mixing.query,
         "op7_minhash": minhash.query,
     }.items()
 }
 ORACLE: dict[str, str] = {
+    "op1_embedding_neardup": embed_dedup.ORACLE,
     "op7_minhash": minhash.ORACLE,
 }

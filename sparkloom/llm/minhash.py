@@ -15,8 +15,10 @@ Steps, each linear in rows apart from the links themselves:
    member. Proposals whose signatures agree far too little for the threshold go
    (see ``LOOSE``); each document verifies the smallest of the rest on full sets.
 4. Components of those links. Only buckets that still hold several components
-   need more: their members are compared in blocks of ``BLOCK``, signatures
-   first, never emitting pairs that are in one component already or far apart.
+   need more: their members' signatures are compared in blocks of ``BLOCK``, and
+   a block returns a root per member, not pairs. Members joined this way form
+   families; inside a family, full sets are compared block against block, pairs
+   that are in one component by then are skipped, and only links leave a task.
 5. Components of all links; copies take the component of their set.
 
 Defined cases: null, empty or blank texts have an empty set (0 shingles) and
@@ -38,10 +40,14 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, mix64, shingle_sets, table, text_runs
 
 U32, U64 = np.uint32, np.uint64
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 32, 5
 #: Signatures that agree less than this many standard deviations below the threshold can't belong to a link.
 LOOSE = 6.0
 BLOCK = 1000
+#: Documents and shingles of a block of a family whose full sets are compared.
+FAMILY_BLOCK, FAMILY_SHINGLES = 400, 400_000
+#: Ids that are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Shingles whose permuted positions are ranked at once, so that the array stays in the CPU's cache.
 CHUNK = 1 << 16
 
@@ -142,10 +148,6 @@ def least_agreement(n_hashes: int, percent: int) -> int:
     return max(0, math.floor(n_hashes * p - LOOSE * math.sqrt(n_hashes * p * (1 - p))))
 
 
-def _agree(a: bytes, b: bytes) -> int:
-    return int((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).sum())
-
-
 def _near(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree in ``least`` coordinates or more."""
 
@@ -161,13 +163,15 @@ def _near(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of ``pairs`` with 100 * intersection >= percent * union of their full sets."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    # Shuffled by id once: the sets are made after the exchange and feed both joins.
-    sets = cut(_sets_of(texts, size))
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of ``ids``; without a shuffle of the texts while the ids are few."""
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of their full sets."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
     both = F.size(F.array_intersect("xa", "xb"))
@@ -180,25 +184,25 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80, b
     least = least_agreement(bands * rows, percent)
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     # One row per shingle set: min() is pre-aggregated, so copies never meet in one task.
-    member = some.select("doc_id", "digest")
-    classes = member.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    sole = cut(some.join(reps, "doc_id", "left_semi").select("doc_id", "keys", "sig"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    sole = some.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     rows_ = sole.select("doc_id", F.explode("keys").alias("key"))
-    full = rows_.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    full = rows_.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
     shared = cut(rows_.join(full, "key").select("key", "doc_id", "low"))
-    sigs = sole.select("doc_id", "sig")
+    sigs = some.select("doc_id", "sig")
+    ids = cut(shared.select("doc_id").distinct())
+    sets = cut(_sets_of(_picked(docs, ids), shingle_size))
 
     first = shared.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = _near(first, sigs, least).groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(_verified(first, docs, shingle_size, percent))
+    links = cut(_verified(first, sets, percent))
     roots = connected_components(links)
 
     placed = shared.select("key", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = cut(placed.join(mixed, "key").join(sigs, "doc_id"))
-    more = _cross_pairs(open_, least).distinct()
-    links = links.unionByName(_verified(more, docs, shingle_size, percent))
+    near = _near_roots(placed.join(mixed, "key").join(sigs, "doc_id"), least)
+    families = connected_components(near)
+    links = links.unionByName(_family_links(families, roots, sets, sigs, least, percent))
     roots = connected_components(links)
 
     of_rep = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(F.col("digest").alias("_d"), F.coalesce("root", "rep").alias("_c"))
@@ -208,32 +212,78 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80, b
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _cross_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """Near pairs of different components in a bucket, block against block.
+def _spread(rows: DataFrame, group: str, cols: list[str]) -> DataFrame:
+    """Rows of a group of n ``blocks``, each to the n block pairs it belongs to,
+    so that no task holds more than two blocks."""
+    salted = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+    spread = salted.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return spread.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", *cols)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    return np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
 
-    A member of a bucket of n blocks goes to n of the n (n + 1) / 2 block pairs,
-    so no task holds more than two blocks; only near pairs leave it."""
+
+def _near_roots(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b): b is the smallest document that a reaches, within two blocks of a
+    bucket, by near signatures of documents of different components."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, root, block = (group.column(c).to_numpy() for c in ("doc_id", "root", "block"))
+        ids, root = group.column("doc_id").to_numpy(), group.column("root").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
+        left, right, alone = _sides(group)
+        parent = np.arange(len(ids))
         for x in left.tolist():
-            y = right[root[right] != root[x]]
-            if i == j:
+            y = right[(root[right] != root[x]) & (parent[right] != parent[x])]
+            if alone:
                 y = y[y > x]
             y = y[(sig[y] == sig[x]).sum(axis=1) >= least] if len(y) else y
-            out_a.append(np.minimum(ids[y], ids[x]))
-            out_b.append(np.maximum(ids[y], ids[x]))
-        cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+            if len(y):
+                parent[np.isin(parent, np.unique(parent[y]))] = parent[x]
+        low = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, parent, ids)
+        linked = np.flatnonzero(low[parent] != ids)
+        return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(low[parent][linked], pa.int64())})
 
-    salted = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
-    spread = salted.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "sig")
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return _spread(rows, "key", ["root", "sig"]).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of a family, enough to join all that are linked."""
+    of_root = roots.select(F.col("node").alias("doc_id"), F.col("root"))
+    member = families.select(F.col("node").alias("doc_id"), F.col("root").alias("family")).join(of_root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    member = member.join(sets, "doc_id").join(sigs, "doc_id")
+    size = F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum(F.size("shingles")) / FAMILY_SHINGLES)).cast("int").alias("blocks")
+    blocks = member.groupBy("family").agg(size)
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, label = group.column("doc_id").to_numpy(), group.column("root").to_numpy().copy()
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        lists = group.column("shingles").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets_ = [flat[at[k] : at[k + 1]].view(np.uint64) for k in range(len(ids))]
+        n = np.diff(at)
+        left, right, alone = _sides(group)
+        a, b = [], []
+        for x in left.tolist():
+            y = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            if alone:
+                y = y[y > x]
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= least] if len(y) else y
+            for k in y.tolist():
+                if label[k] == label[x]:
+                    continue
+                p, q = (sets_[x], sets_[k]) if n[x] <= n[k] else (sets_[k], sets_[x])
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if 100 * both >= percent * (n[x] + n[k] - both):
+                    a.append(ids[x])
+                    b.append(ids[k])
+                    label[label == label[k]] = label[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    spread = _spread(member.join(blocks, "family"), "family", ["root", "sig", "shingles"])
+    return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

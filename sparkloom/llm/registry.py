@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import bpe, embed_dedup, media_gif, minhash, mixing
+from . import bpe, embed_dedup, media_gif, minhash, mixing, pii, quality, token_counts, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,15 @@ QUERIES: dict[str, Query] = {
     name: shipped(query)
     for name, query in {
         "op1_embedding_neardup": embed_dedup.query,
+        "op2_pii": pii.query,
+        "op3_token_counts": token_counts.query,
         "op4_media_gif": media_gif.query,
         "op5_bpe": bpe.query,
         "op6_mixing": mixing.query,
         "op7_minhash": minhash.query,
+        "op8_quality": quality.query,
+        "op9_token_files": token_files.query,
+        "op10_toxicity": toxicity.query,
     }.items()
 }
 ORACLE: dict[str, str] = {

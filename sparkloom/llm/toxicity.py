@@ -4,7 +4,8 @@ Folding lowers case, maps look-alike letters (Cyrillic, Greek, full-width) and
 digits or signs within words to the letters they stand for, and turns all other
 ASCII into spaces. The lexicon holds whole words and word beginnings, learned
 from labelled rows: a term's weight is its smoothed log ratio of document
-frequencies, and it enters if the likelihood ratio speaks for it (``EVIDENCE``).
+frequencies, shrunk for rare terms, and it enters if the likelihood ratio speaks
+for it more than chance would for any of the terms tried.
 Word pairs around a term that only clean documents use become exception phrases;
 a match inside one doesn't count. Per word the heaviest term counts; a text's sum
 is divided by the root of its length in words, and a score is the logistic of
@@ -38,8 +39,11 @@ from .quality import crc_mod
 SAMPLE = 20_000
 #: Lengths of word beginnings that may become terms.
 PREFIXES = (4, 5, 6, 7)
-#: Least number of toxic documents with a term, least likelihood ratio, least weight.
-SUPPORT, EVIDENCE, WEIGHT = 3, 16.0, 2.0
+#: Least number of toxic documents with a term, and least log ratio. The least
+#: likelihood ratio follows the number of terms tried: 2 ln(terms).
+SUPPORT, WEIGHT = 3, 3.0
+#: Documents by which the weight of a rare term is shrunk.
+SHRINK = 4
 
 # Letters that look like Latin ones.
 _LOOKALIKES = str.maketrans(
@@ -141,8 +145,14 @@ def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: i
         weight = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
         n = a + b
         evidence = 2 * (a * math.log(a / (n * base)) + (b * math.log(b / (n * (1 - base))) if b else 0))
-        if a >= SUPPORT and weight >= WEIGHT and evidence >= EVIDENCE:
-            out[t] = weight
+        if a >= SUPPORT and weight >= WEIGHT and evidence >= 2 * math.log(len(toxic) + 1):
+            out[t] = weight * a / (a + SHRINK)
+    # A beginning that a longer term explains with fewer clean documents isn't needed.
+    for t in sorted(out, key=len, reverse=True):
+        for k in PREFIXES:
+            p = t[: k + 1]
+            if p in out and p != t and toxic[t] >= 0.9 * toxic[p] and clean.get(t, 0) < clean.get(p, 0):
+                del out[p]
     return out
 
 

@@ -37,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_runs, write_shared
+from .common import cut, table, text_runs, write_shared
 
 LEXICON_WORDS = 1 << 16
 LONG = 64
@@ -147,51 +147,54 @@ class Vocabulary:
 
     # --- merging ---
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of words by the vocabulary's merges, exactly."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of words (little-endian, 32 bits) by the vocabulary's merges, exactly."""
+        out = [b""] * len(words)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         order = np.argsort(lengths, kind="stable")
         low = 0
         for high in (4, 8, 12, 16, 24, 40, LONG):
             group = order[(lengths[order] > low) & (lengths[order] <= high)]
             for k in range(0, len(group), 20_000):
-                self._merge_group(words, group[k : k + 20_000], high, out)
+                rows = group[k : k + 20_000]
+                ids, n = self._merge_group([words[i] for i in rows.tolist()], lengths[rows], high)
+                raw = ids[np.arange(high)[None, :] < n[:, None]].astype("<u4").tobytes()
+                at = 0
+                for i, end in zip(rows.tolist(), (4 * np.cumsum(n)).tolist(), strict=True):
+                    out[i] = raw[at:end]
+                    at = end
             low = high
         for i in order[lengths[order] > LONG].tolist():
-            out[i] = self._merge_long(words[i])
+            out[i] = self._merge_long(words[i]).astype("<u4").tobytes()
         return out
 
-    def _merge_group(self, words: list[bytes], group: np.ndarray, width: int, out: list[np.ndarray]) -> None:
-        n = np.array([len(words[i]) for i in group.tolist()], dtype=np.int64)
-        raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in group.tolist()), np.uint8).reshape(len(group), width)
+    def _merge_group(self, words: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (words x width) and their numbers."""
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(len(words), width)
         ids = self.byte_ids[raw]
+        out, counts, act = ids.copy(), n.copy(), np.arange(len(words))
         cols = np.arange(width)
-        rank = np.full((len(group), width), _NONE, dtype=np.int32)
-        made = np.zeros((len(group), width), dtype=np.int32)
+        rank = np.full((len(words), width), _NONE, dtype=np.int32)
+        made = np.zeros((len(words), width), dtype=np.int32)
         if width > 1:
             r, m = self.find(ids[:, :-1].ravel(), ids[:, 1:].ravel())
-            rank[:, :-1], made[:, :-1] = r.reshape(len(group), -1), m.reshape(len(group), -1)
+            rank[:, :-1], made[:, :-1] = r.reshape(len(words), -1), m.reshape(len(words), -1)
         rank[cols[None, :] >= n[:, None] - 1] = _NONE
-        act = group
         while len(act):
             rows = np.arange(len(act))
             at = rank.argmin(axis=1)
             done = rank[rows, at] == _NONE
             if done.any():
-                for row in np.flatnonzero(done).tolist():
-                    out[act[row]] = ids[row, : n[row]].copy()
+                out[act[done]], counts[act[done]] = ids[done], n[done]
                 keep = ~done
                 act, ids, rank, made, n, at = act[keep], ids[keep], rank[keep], made[keep], n[keep], at[keep]
                 rows = np.arange(len(act))
                 if not len(act):
-                    return
+                    break
             ids[rows, at] = made[rows, at]
-            moved = cols[None, :] > at[:, None]
-            take = np.minimum(cols[None, :] + moved, width - 1)
-            ids = np.take_along_axis(ids, take, axis=1)
-            rank = np.take_along_axis(rank, take, axis=1)
-            made = np.take_along_axis(made, take, axis=1)
+            take = np.minimum(cols[None, :] + (cols[None, :] > at[:, None]), width - 1)
+            flat = take + (rows * width)[:, None]
+            ids, rank, made = ids.ravel()[flat], rank.ravel()[flat], made.ravel()[flat]
             rank[:, width - 1] = _NONE
             n = n - 1
             for shift in (-1, 0):  # the pairs left and right of the merged token
@@ -202,6 +205,7 @@ class Vocabulary:
                 here = p >= 0
                 rank[rows[here], p[here]] = np.where(ok, r, _NONE)[here]
                 made[rows[here], p[here]] = m[here]
+        return out, counts
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
@@ -357,9 +361,14 @@ class Lexicon:
             out[rows[hit]] = total[hit]
         return out
 
-    def lookup(self, words: list[bytes]) -> list[np.ndarray | None]:
-        at = self.number(words).tolist()
-        return [None if k < 0 else self.ids[self.offset[k] : self.offset[k + 1]] for k in at]
+    def lookup(self, words: list[bytes]) -> list[bytes | None]:
+        """Each word's token ids (little-endian, 32 bits), None for words that aren't there."""
+        at = self.number(words)
+        some = np.maximum(at, 0)
+        if not len(self.keys):
+            return [None] * len(words)
+        ids = memoryview(self.ids).cast("B")
+        return [None if k < 0 else bytes(ids[4 * a : 4 * b]) for k, a, b in zip(at.tolist(), self.offset[some].tolist(), self.offset[some + 1].tolist(), strict=True)]
 
 
 # --- encoding ----------------------------------------------------------------------
@@ -380,19 +389,28 @@ class Encoder:
 
     def _resolve(self, chunks: list[bytes]) -> None:
         """Puts all of ``chunks`` into the young generation."""
+        young = self.young
         if self.lexicon is not None:
             rest = []
             for chunk, ids in zip(chunks, self.lexicon.lookup(chunks), strict=True):
                 if ids is None:
                     rest.append(chunk)
                 else:
-                    self.young[chunk] = ids.astype("<u4").tobytes()
+                    young[chunk] = ids
             chunks = rest
-        cuts = [[w.encode() for w in WORDS.findall(c.decode("utf-8", "replace"))] for c in chunks]
+        whole, parted, cuts = [], [], []
+        for chunk in chunks:
+            word = chunk[1:] if chunk[:1] == b" " else chunk
+            if word.isalpha() or word.decode("utf-8", "replace").isalpha():  # letters alone are one word of the pattern
+                whole.append(chunk)
+            else:
+                parted.append(chunk)
+                cuts.append([w.encode() for w in WORDS.findall(chunk.decode("utf-8", "replace"))])
+        young.update(zip(whole, self.vocabulary.merge(whole), strict=True))
         unseen = list({w for cut in cuts for w in cut})
-        made = {w: ids.astype("<u4").tobytes() for w, ids in zip(unseen, self.vocabulary.merge(unseen), strict=True)}
-        for chunk, cut in zip(chunks, cuts, strict=True):
-            self.young[chunk] = b"".join(made[w] for w in cut)
+        made = dict(zip(unseen, self.vocabulary.merge(unseen), strict=True))
+        for chunk, cut in zip(parted, cuts, strict=True):
+            young[chunk] = b"".join([made[w] for w in cut])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         v = self.vocabulary
@@ -448,17 +466,28 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
-    """The most frequent words after a space, counted over all documents."""
+def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
+    """About the ``words`` most frequent words after a space, counted over all documents.
+
+    A histogram of the counts gives the count above which at most ``words`` lie;
+    only those go to the driver, whatever the number of partitions."""
     found = docs.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("word")).groupBy("word").count()
-    fit = (F.col("count") > 1) & F.octet_length("word").between(1, LONG - 1) & ~F.col("word").rlike(r"[\x09-\x0D]")
-    return found.filter(fit).orderBy(F.desc("count"), "word").limit(words)
+    fit = (F.col("count") > 2) & F.octet_length("word").between(1, LONG - 1) & ~F.col("word").rlike(r"[\x09-\x0D]")
+    found = cut(found.filter(fit).withColumn("level", F.floor(F.log2("count") * 16).cast("int")))
+    total, least = 0, None
+    for r in found.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 16 levels for each doubling
+        if total + r["count"] > words:
+            break
+        total, least = total + r["count"], r.level
+    if least is None:
+        return []
+    return [r.word for r in found.filter(F.col("level") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the frequent words of ``docs``, ship the file; its name among the executors' files."""
     spark = docs.sparkSession
-    chosen = [b" " + r["word"].encode() for r in frequent_words(docs, words).collect()]  # bounded by ``words``
+    chosen = sorted(b" " + w.encode() for w in frequent_words(docs, words))
     plain = [w for w in chosen if not ODD_SPACES.search(w)]
     ids = Encoder(Vocabulary(path), cache=2 * words + 1).encode(plain)
     data = compile_lexicon({w: i.tolist() for w, i in zip(plain, ids, strict=True)})

@@ -12,13 +12,18 @@ class Collect(Operation):
 
 
 class Write(Operation):
-    """Writes one part file per partition, in partition order."""
+    """Writes one part file per partition, in partition order; without a path, to
+    the source's path with "-out" behind it."""
 
-    def __init__(self, path: str, format: str = "parquet", mode: str = "errorifexists", **options: str):
+    def __init__(self, path: str | None = None, format: str = "parquet", mode: str = "errorifexists", **options: str):
         self.path, self.format, self.mode, self.options = path, format, mode, options
 
-    def write(self, df: DataFrame) -> None:
-        df.write.format(self.format).mode(self.mode).options(**self.options).save(self.path)
+    def write(self, df: DataFrame, source: str | None = None) -> str:
+        if self.path is None and source is None:
+            raise ValueError("Write needs a path or a source")
+        path = self.path or f"{source.rstrip('/')}-out"
+        df.write.format(self.format).mode(self.mode).options(**self.options).save(path)
+        return path
 
     def explain(self) -> str:
-        return f"Write ({self.path})"
+        return f"Write ({self.path or 'beside the source'})"

@@ -117,6 +117,13 @@ class Job:
                 df = op.run(df)
         return df
 
+    def _source(self, stage: int) -> str | None:
+        """Path of the scan that a stage's rows come from."""
+        parent = {c: p for p, c in self.dependencies}
+        while stage in parent:
+            stage = parent[stage]
+        return getattr(self.stages[stage][0], "path", None)
+
     def run(self, spark: SparkSession) -> Result:
         """Runs the last stage's sink; without one, counts the rows of each partition."""
         frames = self.plan(spark)
@@ -128,8 +135,7 @@ class Job:
             if isinstance(last, Collect):
                 result = Result(df, rows=df.toPandas())
             elif isinstance(last, Write):
-                last.write(df)
-                result = Result(df, path=last.path)
+                result = Result(df, path=last.write(df, self._source(s)))
             else:
                 result = Result(df, counts={r.partition: r.rows for r in partition_counts(df).collect()})
         if result is None:

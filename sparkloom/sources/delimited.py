@@ -87,3 +87,19 @@ def scan_csv(spark: SparkSession, path: str | list[str], types: list[str] | None
     raw = raw.select(*[_present(c).alias(c) for c in names])
     kinds = kinds or _infer(raw)
     return raw.select(*[_cast(c, k).alias(c) for c, k in zip(names, kinds, strict=True)])
+
+
+def probe(spark: SparkSession, path: str, delimiter: str = ",", lines: int = 2000) -> dict:
+    """{"bytes", "approx_rows", "types"} of a file from its first ``lines`` lines and
+    its length, without reading the rest; ``types`` are Spark's names by position."""
+    from ..plans.planner import approx_rows
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    total = where.getFileSystem(conf).getContentSummary(where).getLength()
+    head = spark.read.text(path).limit(lines)
+    size = head.agg(F.sum(F.octet_length("value") + 1), F.count("*")).first()
+    texts = [r.value for r in head.collect()]  # ``lines`` at most
+    raw = spark.read.options(header=False, sep=delimiter, quote='"', escape='"', inferSchema=False).csv(spark.sparkContext.parallelize(texts, 1)) if texts else None
+    kinds = _infer(raw.select(*[_present(c).alias(c) for c in raw.columns])) if raw is not None else []
+    return {"bytes": total, "approx_rows": approx_rows(total, size[0] or 0, size[1]), "types": kinds}

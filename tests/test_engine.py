@@ -208,3 +208,55 @@ def test_stream_of_declarative_operators(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf}/orders.parquet").filter("o_totalprice > 1000").count()
     with pytest.raises(ValueError):
         apply_stage(stream, [sl.Sort("o_orderkey")])
+
+
+def test_random_bytes_are_a_file():
+    from sparkloom.functions import RandomBytes
+
+    f = RandomBytes(RandomBytes.BLOCK * 2 + 10, seed=3)
+    whole = f.read()
+    assert len(whole) == f.total and f.tell() == f.total and f.read(1) == b""
+    f.seek(RandomBytes.BLOCK - 5)
+    assert f.read(10) == whole[RandomBytes.BLOCK - 5 : RandomBytes.BLOCK + 5]
+    assert f.seek(-3, 2) == f.total - 3 and f.read(9) == whole[-3:]
+    assert f.block(2) == whole[-10:] and f.block_span(1) == (RandomBytes.BLOCK, 2 * RandomBytes.BLOCK)
+    with pytest.raises(IndexError):
+        f.block(3)
+
+
+def test_probe(spark, tmp_path):
+    from sparkloom.sources import probe
+
+    path = tmp_path / "p.csv"
+    path.write_text("".join(f"{i:05d},{i / 2},t{i}\n" for i in range(9000)))
+    found = probe(spark, str(path), lines=500)
+    assert found["types"] == ["bigint", "double", "string"] and found["bytes"] == path.stat().st_size
+    assert abs(found["approx_rows"] - 9000) < 1500
+    (tmp_path / "none.csv").write_text("")
+    assert probe(spark, str(tmp_path / "none.csv")) == {"bytes": 0, "approx_rows": 0, "types": []}
+
+
+def test_logger(tmp_path):
+    import io
+
+    from sparkloom.logs import setup_logger
+
+    out = io.StringIO()
+    setup_logger("debug", stream=out).debug("hello")
+    assert "hello" in out.getvalue()
+    setup_logger(filename=str(tmp_path / "log")).info("there")
+    assert "there" in (tmp_path / "log").read_text() and "there" not in out.getvalue()
+
+
+def test_objects(spark, tmp_path):
+    from sparkloom.sources import object_name, object_size, read_object, write_object
+
+    path = str(tmp_path / object_name("a", 1, "b"))
+    assert path.endswith("a_1_b")
+    write_object(spark, path, b"\x00\xffxyz")
+    assert read_object(spark, path) == b"\x00\xffxyz" and object_size(spark, path) == 5
+
+
+def test_write_beside_the_source(spark, terasort):
+    result = sl.Job().add(0, sl.Scan(terasort)).add(0, sl.Filter("`1` < 10")).add(0, sl.Write()).run(spark)
+    assert result.path == f"{terasort}-out" and spark.read.parquet(result.path).count() == 10

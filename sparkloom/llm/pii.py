@@ -126,23 +126,30 @@ def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENER
     seen = seen.select("row", F.sha2(F.lower(F.concat_ws(":", "s.kind", "s.value")), 256).alias("entity"), F.col("s.context").alias("context"))
     entity = seen.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
     words = seen.select("row", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)))).alias("term"))
+    total = docs.count()
+    all_bits = F.log2(F.lit(float(max(total, 1))))
+    log = lambda c: F.log2(F.col(c).cast("double"))
+
+    def share(n_t: str) -> Column:
+        pmi = log("n_te") + all_bits - log(n_t) - log("n_e")
+        return F.when(F.col("n_e") < total, pmi / (all_bits - log("n_e"))).otherwise(F.lit(0.0))
+
     both = words.groupBy("term", "entity").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("c").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    both = cut(both.join(entity, "entity"))
-    terms = cut(both.select("term").distinct())
-    n_terms = terms.count()
-    if not n_terms:
+    # A term is in as many documents as it has contexts in, at least; that bounds
+    # its share from above, and terms of the common language go before they are counted.
+    near = words.groupBy("term").agg(F.countDistinct("row").alias("n_near"))
+    both = cut(both.join(entity, "entity").join(near, "term").filter(share("n_near") >= generalise))
+    if both.isEmpty():
+        return None
+    found_in = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
+    n_t = _texts(docs).select(F.explode(found_in).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    worst = both.join(n_t, "term").groupBy("term").agg(F.max(share("n_t")).alias("share")).filter(F.col("share") >= generalise)
+    chosen = cut(worst.select("term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind")))
+    if chosen.isEmpty():
         return None
-    total = docs.count()
-    spread = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))).alias("term"))
     # The list of terms is broadcast while it is short; a longer one is joined by a shuffle.
-    held = cut(spread.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term"))
-    n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    log = lambda c: F.log2(c.cast("double"))
-    pmi = log(F.col("n_te")) + F.log2(F.lit(float(total))) - log(F.col("n_t")) - log(F.col("n_e"))
-    share = F.when(F.col("n_e") < total, pmi / (F.log2(F.lit(float(total))) - log(F.col("n_e")))).otherwise(F.lit(0.0))
-    worst = both.join(n_t, "term").groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= generalise)
-    chosen = worst.select("term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
-    return held.join(chosen, "term").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "term"))).alias("terms"))
+    held = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(found_in).alias("term")).join(_few(chosen), "term")
+    return held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "term"))).alias("terms"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -214,13 +221,13 @@ def _masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
     """The documents with their spans masked; ``n_chars``, where there is one, follows the text."""
     found = find(docs, **thresholds).filter(F.size("spans") > 0)
-    found = cut(found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_h"]))
+    found = cut(found.select(F.col("doc_id").alias("__pii_id"), F.col("h").alias("__pii_h"), F.col("spans").alias("__pii_spans")).dropDuplicates(["__pii_id", "__pii_h"]))
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.join(_few(found), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")), "left")
-    text = F.when(F.col("_spans").isNotNull(), _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    both = docs.join(_few(found), F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id")) & (h == F.col("__pii_h")), "left")
+    text = F.when(F.col("__pii_spans").isNotNull(), _masked(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__pii_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -3,7 +3,7 @@
 Folding lowers case, maps look-alike letters (Cyrillic, Greek, full-width) and
 digits or signs within words to the letters they stand for, and turns all other
 ASCII into spaces. The lexicon holds whole words and word beginnings, learned
-from labelled rows: a term's weight is its smoothed log ratio of document
+from labelled rows, near copies of one another counted once: a term's weight is its smoothed log ratio of document
 frequencies, shrunk for rare terms, and it enters if the likelihood ratio speaks
 for it more than chance would for any of the terms tried.
 Word pairs around a term that only clean documents use become exception phrases;
@@ -33,15 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_runs
+from .common import cut, shingle_sets, table, text_runs
+from .minhash import signatures
 from .quality import crc_mod
 
 SAMPLE = 20_000
+#: Terms that a task counts before it passes its sums on.
+FLUSH = 100_000
 #: Lengths of word beginnings that may become terms.
 PREFIXES = (4, 5, 6, 7)
 #: Least number of toxic documents with a term, and least log ratio. The least
-#: likelihood ratio follows the number of terms tried: 2 ln(terms).
-SUPPORT, WEIGHT = 3, 3.0
+#: likelihood ratio follows the number of terms tried, 2 ln(terms), and the
+#: strongest term's, of which it must reach a share.
+SUPPORT, WEIGHT, SHARE = 3, 3.0, 0.02
 #: Documents by which the weight of a rare term is shrunk.
 SHRINK = 4
 
@@ -138,14 +142,18 @@ class Lexicon:
 
 def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weights of the terms that labelled documents speak for."""
-    out = {}
     base = n_toxic / (n_toxic + n_clean)
-    for t, a in toxic.items():
-        b = clean.get(t, 0)
-        weight = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
+
+    def evidence(a: int, b: int) -> float:
         n = a + b
-        evidence = 2 * (a * math.log(a / (n * base)) + (b * math.log(b / (n * (1 - base))) if b else 0))
-        if a >= SUPPORT and weight >= WEIGHT and evidence >= 2 * math.log(len(toxic) + 1):
+        return 2 * (a * math.log(a / (n * base)) + (b * math.log(b / (n * (1 - base))) if b else 0))
+
+    speaks = {t: evidence(a, clean.get(t, 0)) for t, a in toxic.items()}
+    least = max(2 * math.log(len(toxic) + 1), SHARE * max(speaks.values(), default=0.0))
+    out = {}
+    for t, a in toxic.items():
+        weight = math.log((a + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
+        if a >= SUPPORT and weight >= WEIGHT and speaks[t] >= least:
             out[t] = weight * a / (a + SHRINK)
     # A beginning that a longer term explains with fewer clean documents isn't needed.
     for t in sorted(out, key=len, reverse=True):
@@ -177,22 +185,54 @@ def _counted(rows: DataFrame, count) -> dict[tuple[str, int], int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+
+        def sums() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "label", "n"])
+            total.clear()
+            return out
+
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for term in count(fold(text or ""), label):
                     total[term, label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "label", "n"])
+                if len(total) > FLUSH:
+                    yield sums()
+        yield sums()
 
     found = rows.select("text", "label").mapInArrow(run, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n"))
     return {(r.term, r.label): r.n for r in found.filter(F.col("n") >= SUPPORT).collect()}
 
 
+def _one_of_each(rows: DataFrame, sketches: int = 8) -> list[int]:
+    """Ids of the rows less near copies, whose rare words would look like evidence:
+    one that shares any of ``sketches`` MinHash values with an earlier one of its label goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in text_runs(batch.column(1)):
+                sig = signatures(shingle_sets(data, at, 3)[0], sketches).T.astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, sketches, dtype=np.int32)), pa.array(sig.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists], names=["_id", "label", "sig"])
+
+    found = rows.select("_id", "text", "label").mapInArrow(run, "_id long, label int, sig array<long>").collect()
+    seen: set[tuple[int, int, int]] = set()
+    kept = []
+    for r in sorted(found, key=lambda r: (r._id, r.label, r.sig)):
+        marks = [(r.label, k, v) for k, v in enumerate(r.sig)]
+        if not seen.intersection(marks):
+            kept.append(r._id)
+            seen.update(marks)
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """Learn terms, exceptions and level from at most ``sample`` labelled rows."""
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = cut(chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
-    rows = cut(rows)  # bounded by ``sample``; read four times below
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "label")
+    rows = cut(rows)  # bounded by ``sample``; read several times below
+    alone = docs.sparkSession.createDataFrame([(i,) for i in _one_of_each(rows)], "_id long")
+    rows = cut(rows.join(F.broadcast(alone), "_id", "left_semi"))
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon({})

@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, table
 
 SAMPLE, SAMPLE_BYTES = 40_000, 48 << 20
-CELL, MAX_CELLS, ROUNDS, BLOCK = 2048, 2048, 12, 2048
+CELL, MAX_CELLS, ROUNDS, BLOCK = 8192, 2048, 12, 8192
+#: Rows of a block's matrix product made at once.
+STRIP = 512
 
 
 def _clean(vectors: DataFrame, id_col: str, col: str) -> DataFrame:
@@ -103,18 +105,35 @@ def _assign(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFr
     return classes.select("rep", "v", "w").mapInArrow(run, "rep long, v binary, w long, cell int, visits array<int>")
 
 
+def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y have a cosine of ``threshold`` or more."""
+    nx, ny = (np.sqrt((a * a).sum(axis=1)) for a in (x, y))
+    mask = np.empty((len(x), len(y)), dtype=bool)
+    for k in range(0, len(x), STRIP):
+        mask[k : k + STRIP] = x[k : k + STRIP] @ y.T >= threshold * nx[k : k + STRIP, None] * ny[None, :]
+    return mask
+
+
 def _roots(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id of each row's and column's component in a matrix of links."""
     far = np.iinfo(np.int64).max
     a, b = left.copy(), right.copy()
     while True:
-        a2 = np.minimum(a, np.where(mask, b[None, :], far).min(axis=1))
-        b2 = np.minimum(b, np.where(mask, a2[:, None], far).min(axis=0))
+        a2, b2 = a.copy(), b.copy()
+        for k in range(0, len(a), STRIP):
+            part = mask[k : k + STRIP]
+            a2[k : k + STRIP] = np.minimum(a[k : k + STRIP], np.where(part, b2[None, :], far).min(axis=1))
+            b2 = np.minimum(b2, np.where(part, a2[k : k + STRIP, None], far).min(axis=0))
         if (a2 == a).all() and (b2 == b).all():
             return a, b
         a, b = a2, b2
 
 
+def _weights(mask: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of the weights that each row links to."""
+    return np.concatenate([np.where(mask[k : k + STRIP], w[None, :], 0).sum(axis=1) for k in range(0, len(mask), STRIP)])
+
+
 def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         kind, i, j = (group.column(c)[0].as_py() for c in ("kind", "i", "j"))
@@ -131,8 +150,7 @@ def _compare(threshold: float):
             if not len(left) or not len(right):
                 continue
             x, y = (np.frombuffer(b"".join(raw[k] for k in rows), np.float64).reshape(len(rows), -1) for rows in (left, right))
-            norms = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]
-            mask = x @ y.T >= threshold * norms
+            mask = _links(x, y, threshold)
             alone = kind == 0 and i == j
             if alone:
                 np.fill_diagonal(mask, False)
@@ -142,9 +160,9 @@ def _compare(threshold: float):
             mask = mask[np.ix_(rows, cols)]
             left, right = left[rows], right[cols]
             a, b = _roots(mask, ids[left], ids[right])
-            out.append((ids[left], mask @ w[right], a))
+            out.append((ids[left], _weights(mask, w[right]), a))
             if not alone:
-                out.append((ids[right], w[left] @ mask, b))
+                out.append((ids[right], _weights(mask.T, w[left]), b))
         rep, links, root = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
         return pa.table({"rep": pa.array(rep, pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(root, pa.int64())})
 

@@ -240,5 +240,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def buckets_for(rows: int, each: int = 50_000) -> int:
+def buckets_for(rows: int, each: int = 8_000) -> int:
     return max(1, math.ceil(rows / each))

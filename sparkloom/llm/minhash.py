@@ -293,8 +293,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: keep one document of each group, on five-word shingles at 0.8."""
     found = near_duplicates(docs, shingle_size=5, percent=80)
-    keep = found.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    keep = found.filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 ORACLE = """

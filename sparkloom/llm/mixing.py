@@ -135,6 +135,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document as often as the mix takes it, in whole copies
     (words taken over size, rounded): 0, 1 or 2 times. Rows of one id share its words."""
-    got = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_n"))
-    both = docs.join(got, docs["doc_id"].eqNullSafe(F.col("_id"))).filter("_n > 0")
-    return both.withColumn("_k", F.explode(F.expr("sequence(1, _n)"))).select(*docs.columns)
+    got = mix(docs).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("__mix_n"))
+    both = docs.join(got, docs["doc_id"].eqNullSafe(F.col("__mix_id"))).filter("__mix_n > 0")
+    return both.withColumn("__mix_k", F.explode(F.expr("sequence(1, __mix_n)"))).select(*docs.columns)

@@ -13,13 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, minhash, mixing, pii, toxicity
-from sparkloom.llm.common import shared_path, table
-from sparkloom.session import ship_package
+from sparkloom.llm.common import prepare, shared_path, table
 
 
 def _stage(function):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return function(spark, docs, sf_dir)
 
     return run_stage

@@ -42,7 +42,7 @@ from .common import cut, table, text_runs, write_shared
 LEXICON_WORDS = 1 << 16
 LONG = 64
 #: Entries of each of a worker's two cache generations.
-CACHE = 300_000
+CACHE = 200_000
 _SPACES = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 _NONE = np.int32(2**31 - 1)

@@ -6,6 +6,7 @@ buffers, so a batch is tokenised and hashed without a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 U64 = np.uint64
 #: Bytes that end a word: space and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -25,6 +28,19 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 RUN_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch, so that batches of long texts stay small in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors, and bounds Arrow batches where the
+    session has Spark's default of 10,000 rows."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,11 +104,28 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+_tidied = 0
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system, now and then, so
+    that workers which wait for their next task don't keep it from the others."""
+    global _tidied
+    _tidied += 1
+    if _tidied % 8 == 0:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def text_runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of each range."""
     data, offsets = text_buffers(column)
     for i, j in runs(offsets, limit):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    tidy()
 
 
 # --- hashing -----------------------------------------------------------------
@@ -240,5 +273,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def buckets_for(rows: int, each: int = 8_000) -> int:
-    return max(1, math.ceil(rows / each))
+def rows_each(rows: int, least: int = 2_000) -> int:
+    """Rows of a bucket of a running sum: as many as there are buckets, for large inputs."""
+    return max(least, math.isqrt(max(rows, 0)))
+
+
+def buckets_for(rows: int) -> int:
+    return max(1, math.ceil(rows / rows_each(rows)))

@@ -6,24 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package
 from . import bpe, embed_dedup, media_gif, minhash, mixing, pii, quality, token_counts, token_files, toxicity
+from .common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def shipped(query: Query) -> Query:
-    """The query, after sending this package to the executors."""
+def prepared(query: Query) -> Query:
+    """The query, in a prepared session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run
 
 
 QUERIES: dict[str, Query] = {
-    name: shipped(query)
+    name: prepared(query)
     for name, query in {
         "op1_embedding_neardup": embed_dedup.query,
         "op2_pii": pii.query,

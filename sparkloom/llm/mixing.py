@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, running_start, table
+from .common import buckets_for, cut, rows_each, running_start, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -79,7 +79,7 @@ def schedule(spark: SparkSession, plan: list[tuple[int, int, int]], block_tokens
         point = F.col("id") * GOLDEN + 0.5
         slots = spark.range(total).withColumn("u", point - F.floor(point))
         slots = slots.select(F.col("id").alias("slot"), F.size(F.filter(bounds, lambda x: x <= F.col("u"))).alias("src"), F.lit(1).cast("long").alias("one"))
-        slots = slots.withColumn("part", F.floor(F.col("slot") / 50_000).cast("int"))
+        slots = slots.withColumn("part", F.floor(F.col("slot") / rows_each(total)).cast("int"))
         slots = running_start(slots, "src", ["slot"], "one", "rank", "part")
         needs = F.array(*[F.lit(n).cast("long") for n in need])
         have = {r.src: r["count"] for r in slots.groupBy("src").count().collect()}  # a row for each source at most

@@ -39,20 +39,34 @@ CELL, MAX_CELLS, ROUNDS, BLOCK = 8192, 2048, 12, 8192
 STRIP = 512
 
 
+def _usable(column: pa.ListArray) -> list[bytes | None]:
+    """Bytes of each vector's doubles, of very large or small ones scaled; None for unusable ones."""
+    at = column.offsets.to_numpy()
+    length = np.diff(at)
+    flat = column.values
+    if not column.null_count and not flat.null_count and len(length) and length[0] > 0 and (length == length[0]).all():
+        grids = [(np.arange(len(length)), flat.to_numpy()[at[0] : at[-1]].reshape(len(length), -1))]
+    else:  # nulls or several lengths: one vector at a time
+        grids = [(np.array([i]), x.values.to_numpy(zero_copy_only=False)[None, :]) for i, x in enumerate(column) if x.is_valid and len(x.values) and not x.values.null_count]
+    out: list[bytes | None] = [None] * len(column)
+    for rows, grid in grids:
+        grid = grid + 0.0  # -0.0 and 0.0 are the same
+        ok = np.isfinite(grid).all(axis=1) & grid.any(axis=1)
+        most = np.abs(np.where(ok[:, None], grid, 1.0)).max(axis=1)
+        odd = (most > 1e100) | (most < 1e-100)
+        grid[odd] /= most[odd, None]
+        for i, row, good in zip(rows.tolist(), grid, ok, strict=True):
+            out[i] = row.tobytes() if good else None
+    return out
+
+
 def _clean(vectors: DataFrame, id_col: str, col: str) -> DataFrame:
     """vec_id, v (bytes of doubles; null where the vector is unusable), digest."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                a = None
-                if x.is_valid and len(x.values) and not x.values.null_count:
-                    a = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    a = a if np.isfinite(a).all() and a.any() else None
-                out.append(None if a is None else (a / np.abs(a).max() if np.abs(a).max() > 1e100 or np.abs(a).max() < 1e-100 else a))
-            v = [None if a is None else (a + 0.0).tobytes() for a in out]
+            v = _usable(batch.column(1))
             digest = [None if b is None else hashlib.blake2b(b, digest_size=16).digest() for b in v]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary()), pa.array(digest, pa.binary())], names=["vec_id", "v", "digest"])
 

@@ -14,7 +14,11 @@ the metadata columns) plus its start within the part.
 
 A worker encodes each distinct word (between ASCII spaces) with the tokenizers
 library once and remembers it in bounded caches; the tokenizer drops white
-space and never joins across it, which makes that exact.
+space and never joins across it, which makes that exact. Unseen words go to the
+library many to a text; where each is letters, or letters before punctuation,
+the vocabulary's word-end marks tell them apart again, and a text whose marks
+don't add up is encoded word by word. Lower-case Latin words take the library's
+model without the normalising steps, which leave them as they are.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first;
 equal ids are ordered by text; repeated rows are separate; an empty table gives
@@ -23,7 +27,10 @@ no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +43,14 @@ from pyspark.sql import functions as F
 from .common import shared_path, table, text_runs
 
 END_ID = 2
-CACHE = 300_000
+#: Distinct words of each of a worker's two cache generations.
+CACHE = 350_000
+#: Unseen words that are encoded as one text.
+TOGETHER = 512
+#: Lower-case Latin letters that no normalisation changes.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: ASCII punctuation but the apostrophe, which may begin a word's ending.
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Row groups of 32 MB, pages of 64 KB or 2,000 rows.
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -48,10 +62,31 @@ LAYOUT = {
     "parquet.enable.dictionary#local_start": "false",
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
 }
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
+class _Words(dict):
+    """Number of each word in ``ids``; a word that isn't there gets one, taken from
+    the generation before if that has it, else noted as pending."""
+
+    def __init__(self, before: _Words | None = None):
+        super().__init__()
+        self.ids: list[bytes] = []
+        self.before = before
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self.ids)
+        if self.before is not None and word in self.before:
+            self.ids.append(self.before.ids[self.before[word]])
+        else:
+            self.ids.append(b"")
+            self.pending.append(word)
+        return k
+
+
 class WordEncoder:
     """Token ids of texts from the library's ids of their distinct words."""
 
@@ -62,31 +97,94 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # The same model without the steps that leave lower-case words alone.
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        front = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": front}, "truncation": None, "padding": None}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.limit = cache
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words = _Words()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words = [t.split() for t in texts]
-        wanted: set[bytes] = set()
-        for w in words:
-            wanted.update(w)
-        if len(self.young) + len(wanted) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for w in wanted:
-            if w not in young:
-                if (known := old.get(w)) is not None:
-                    young[w] = known
+        if len(self.words) > self.limit:
+            self.words.before = None
+            self.words = _Words(self.words)
+        gc.disable()  # nothing here has cycles, and the many new objects would set the collector off
+        try:
+            number = self.words.__getitem__
+            numbers = [list(map(number, t.split())) for t in texts]
+            if self.words.pending:
+                self._resolve()
+            get = self.words.ids.__getitem__
+            return [b"".join(map(get, n)) for n in numbers]
+        finally:
+            gc.enable()
+
+    def _resolve(self) -> None:
+        """Letters, in lower case as the tokenizer takes them, and what follows them are looked up apart."""
+        words = self.words
+        pending, words.pending = words.pending, []
+        ids, known = words.ids, words.get
+        before, older = (words.before.ids, words.before.get) if words.before is not None else ([], {}.get)
+        found: dict[bytes, bytes] = {b"": b""}
+        plain, other, tails = {}, {}, {}
+        pairs = []
+        for w in pending:
+            head = w.rstrip(_PUNCTUATION)
+            tail = w[len(head) :]
+            if head.isalpha():
+                head = head.lower()
+                if head not in found:
+                    # Most unseen words are seen ones with other punctuation or capitals.
+                    if (k := known(head)) is not None and ids[k]:
+                        found[head] = ids[k]
+                    elif (k := older(head)) is not None:
+                        found[head] = before[k]
+                    else:
+                        plain[head] = None
+            elif head and (text := head.decode("utf-8", "replace")).isalpha():
+                if _LATIN.fullmatch(text):
+                    plain[head] = None
                 else:
-                    missing.append(w)
-        if missing:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, found, strict=True):
-                young[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+                    other[head] = None
+            else:
+                head, tail = b"", w
+            if tail:
+                tails[tail] = None
+            pairs.append((w, head, tail))
+        found.update(self._letters(list(plain), self.plain))
+        found.update(self._letters(list(other), self.tokenizer))
+        found.update(zip(tails, self._each(list(tails)), strict=True))
+        for h in plain:
+            if known(h) is None:
+                words[h] = len(ids)
+                ids.append(found[h])
+        for w, h, t in pairs:
+            ids[words[w]] = found[h] + found[t]
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+
+    def _letters(self, words: list[bytes], tokenizer) -> dict[bytes, bytes]:
+        """Ids of words of letters alone, ``TOGETHER`` to a text."""
+        out: dict[bytes, bytes] = {}
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        texts = [b" ".join(g).decode("utf-8", "replace") for g in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                out.update(zip(group, self._each(group), strict=True))
+                continue
+            raw = ids.tobytes()
+            out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

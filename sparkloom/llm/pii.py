@@ -9,10 +9,13 @@ same leftmost matches in time linear in the text.
 Terms: each value found (an e-mail, a number) is a protected entity. For a term t
 in the context of an entity e the corpus gives PMI(t; e) and the entity's
 information IC(e) = -log2 p(e); their ratio is the share of the entity's
-information that t discloses (C-sanitised; Sanchez & Batet, 2016). A term seen
-with e in ``MIN_CONTEXTS`` different contexts or more is generalised where the
-ratio reaches ``GENERALISE`` and removed where it reaches ``REMOVE``, wherever it
-occurs. Copies of one context are one piece of evidence. p counts all documents.
+information that t discloses (C-sanitised; Sanchez & Batet, 2016). Every pair is
+scored, once-seen ones too. p(e|t) is smoothed towards p(e) with the weight of
+``PRIOR`` contexts against the number of different contexts of the pair, so few
+contexts lower the share instead of excluding the pair; copies of one context are
+one piece of evidence. A term is generalised where its largest share reaches
+``GENERALISE`` and removed where it reaches ``REMOVE``, wherever it occurs.
+p counts all documents.
 
 Defined cases: null text is empty and has no spans; kinds may overlap, spans of a
 kind don't; overlapping spans are masked as one; null ids are kept; repeated
@@ -30,7 +33,7 @@ from .common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
-GENERALISE, REMOVE, MIN_CONTEXTS = 0.8, 0.95, 3
+GENERALISE, REMOVE, PRIOR = 0.8, 0.95, 1.0
 #: Characters of context on either side of a span.
 CONTEXT = 80
 BROADCAST_ROWS = 500_000
@@ -119,20 +122,20 @@ def base_spans(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("t").alias("h"), F.concat(*parts).alias("spans"))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame | None:
+def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = 1) -> DataFrame | None:
     """(doc_id, h, terms): documents with terms that disclose an entity; None where
-    no term is seen with an entity often enough. Counts are over all documents."""
+    no term does. Counts are over all documents; ``min_contexts`` is for callers
+    who want pairs of few contexts left out."""
     seen = found.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("spans").alias("s"))
     seen = seen.select("row", F.sha2(F.lower(F.concat_ws(":", "s.kind", "s.value")), 256).alias("entity"), F.col("s.context").alias("context"))
     entity = seen.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
     words = seen.select("row", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)))).alias("term"))
     total = docs.count()
-    all_bits = F.log2(F.lit(float(max(total, 1))))
-    log = lambda c: F.log2(F.col(c).cast("double"))
+    p_e = F.col("n_e") / F.lit(float(max(total, 1)))
 
     def share(n_t: str) -> Column:
-        pmi = log("n_te") + all_bits - log(n_t) - log("n_e")
-        return F.when(F.col("n_e") < total, pmi / (all_bits - log("n_e"))).otherwise(F.lit(0.0))
+        given = (F.col("contexts") * F.col("n_te") / F.col(n_t) + PRIOR * p_e) / (F.col("contexts") + PRIOR)
+        return F.when(F.col("n_e") < total, 1 - F.log2(given) / F.log2(p_e)).otherwise(F.lit(0.0))
 
     both = words.groupBy("term", "entity").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("c").alias("contexts")).filter(F.col("contexts") >= min_contexts)
     # A term is in as many documents as it has contexts in, at least; that bounds
@@ -142,7 +145,10 @@ def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENER
     if both.isEmpty():
         return None
     found_in = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
-    n_t = _texts(docs).select(F.explode(found_in).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    uses, names = _texts(docs).select(F.explode(found_in).alias("term")), both.select("term").distinct()
+    if names.count() <= BROADCAST_ROWS:
+        uses = uses.join(F.broadcast(names), "term")
+    n_t = uses.groupBy("term").agg(F.count("*").alias("n_t"))
     worst = both.join(n_t, "term").groupBy("term").agg(F.max(share("n_t")).alias("share")).filter(F.col("share") >= generalise)
     chosen = cut(worst.select("term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind")))
     if chosen.isEmpty():
@@ -161,19 +167,20 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, h, more): places of each document's terms, as whole words, any case."""
     terms = cut(terms).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms")
     rows = _texts(docs).withColumn("h", F.xxhash64("t")).join(_few(terms), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    rows = rows.select("doc_id", "h", "t", F.explode("terms").alias("x")).dropDuplicates(["doc_id", "h", "x"])
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}@._%+-])\Q"), F.col("x.term"), F.lit(r"\E(?![\p{L}\p{N}@_%+-])"))
-    rows = rows.withColumn("m", F.regexp_extract_all("t", pattern, F.lit(0))).withColumn("g", F.call_function("split", "t", pattern, F.lit(-1)))
-    pairs = F.zip_with(F.slice("g", F.lit(1), F.size("m")), F.col("m"), lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n")))
-    kind = "array<struct<start:bigint,end:bigint>>"
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(kind).alias("out"))
+    # One pass over the words of a text for all its terms; texts are not shuffled.
+    words = F.regexp_extract_all("t", F.lit(_TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split("t", _TERM, -1), F.lit(1), F.size(words)), words, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), F.lower(m).alias("term")))
+    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("out"))
+    kinds = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind"))))
 
     def step(s: Column, p: Column) -> Column:
         start = s["pos"] + p["gap"]
-        return F.struct((start + p["n"]).alias("pos"), F.concat(s["out"], F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end")))).alias("out"))
+        end, kind = start + p["n"], F.element_at(F.col("kinds"), p["term"])
+        span = F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("pos"), F.when(kind.isNotNull(), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    rows = rows.select("doc_id", "h", F.col("x.kind").alias("kind"), F.explode(F.aggregate(pairs, zero, step, lambda s: s["out"])).alias("p"))
-    return rows.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("p.start").alias("start"), F.col("p.end").alias("end")))).alias("more"))
+    more = F.sort_array(F.aggregate(pairs, zero, step, lambda s: s["out"]))
+    return rows.withColumn("kinds", kinds).select("doc_id", "h", more.alias("more")).dropDuplicates(["doc_id", "h"])
 
 
 def find(docs: DataFrame, **thresholds: float) -> DataFrame:

@@ -98,6 +98,18 @@ def test_revealing_terms_by_hand(spark):
     assert none[len(texts) - 1].text == texts[-1]
 
 
+def test_a_name_beside_an_address_seen_once(spark):
+    """No pair has three contexts here; few contexts must weigh less, not exclude."""
+    texts = ["common words about the open field"] * 199
+    texts = [f"{t} part" if i % 2 else t for i, t in enumerate(texts)] + ["common words about Quillfeather and quillfeather mail q@corp.example the open field"]
+    texts[0] += " and mail"
+    texts[2:5] = ["common mail words and the open field"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean.pop(199) == "common words about [TERM] and [TERM] mail [EMAIL] the open field"
+    assert clean == dict(enumerate(texts[:199]))
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     rows = [(None, "a@b.cd", "x"), (1, None, "y"), (1, "4111111111111111, 10.0.0.1", "z"), (1, "4111111111111111, 10.0.0.1", "z"), (2, "+1 (968) 555-2281", "_id")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _id string")

@@ -7,13 +7,15 @@ anchored to the start of a run (or the end of the match before), which finds the
 same leftmost matches in time linear in the text.
 
 Terms: each value found (an e-mail, a number) is a protected entity. For a term t
-in the context of an entity e the corpus gives PMI(t; e) and the entity's
+in a document of an entity e the corpus gives PMI(t; e) and the entity's
 information IC(e) = -log2 p(e); their ratio is the share of the entity's
 information that t discloses (C-sanitised; Sanchez & Batet, 2016). Every pair is
 scored, once-seen ones too. p(e|t) is smoothed towards p(e) with the weight of
 ``PRIOR`` contexts against the number of different contexts of the pair, so few
-contexts lower the share instead of excluding the pair; copies of one context are
-one piece of evidence. A term is generalised where its largest share reaches
+contexts lower the share instead of excluding the pair. The context is the whole
+document, and copies of one text are one context. Terms are runs of letters,
+marks and digits of any length, joined by hyphens or apostrophes, but not parts
+of addresses. A term is generalised where its largest share reaches
 ``GENERALISE`` and removed where it reaches ``REMOVE``, wherever it occurs.
 p counts all documents.
 
@@ -34,8 +36,6 @@ from .common import cut, table
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
 GENERALISE, REMOVE, PRIOR = 0.8, 0.95, 1.0
-#: Characters of context on either side of a span.
-CONTEXT = 80
 BROADCAST_ROWS = 500_000
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -49,7 +49,7 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
-_TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,40}+(?![\p{L}\p{N}@_%+-])"
+_TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])[\p{L}\p{M}\p{N}]++(?:[-'’][\p{L}\p{M}\p{N}]++)*+(?![@_%+-])"
 
 
 def _digits(value: Column) -> Column:
@@ -101,60 +101,63 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
 
-def base_spans(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """doc_id, h (hash of the text), spans (kind, start, end, value, context) by
-    kind and start. Code points, end exclusive."""
+def _terms() -> Column:
+    """Distinct terms of the text ``t``, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0))), F.lower))
+
+
+def base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), spans (kind, start, end, value) by kind and
+    start, terms (of texts with spans). Code points, end exclusive."""
     rows = _texts(docs).select("doc_id", "t", *(_matches(k).alias(f"m_{k}") for k in KINDS))
     rows = rows.select("doc_id", "t", *(_located(k, F.col(f"m_{k}")).alias(f"s_{k}") for k in KINDS))
 
-    def around(s: Column) -> Column:
-        left = F.substring(F.col("t"), F.greatest(s["start"] - context + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(context)).cast("int"))
-        right = F.substring(F.col("t"), (s["end"] + 1).cast("int"), F.lit(context))
-        # Words that the window cuts are left out.
-        left = F.when(s["start"] > context, F.regexp_replace(left, r"^\S*+", "")).otherwise(left)
-        right = F.when(F.length(right) == context, F.regexp_replace(right, r"(?<=\s)\S*+$", "")).otherwise(right)
-        return F.lower(F.concat(left, F.lit(" \n "), right))
-
     def part(kind: str) -> Column:
-        return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), around(s).alias("context")))
+        return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     parts = [part(k) for k in KINDS]
-    return rows.select("doc_id", F.xxhash64("t").alias("h"), F.concat(*parts).alias("spans"))
+    rows = rows.select("doc_id", "t", F.xxhash64("t").alias("h"), F.concat(*parts).alias("spans"))
+    return rows.select("doc_id", "h", "spans", F.when(F.size("spans") > 0, _terms()).alias("terms"))
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = 1) -> DataFrame | None:
     """(doc_id, h, terms): documents with terms that disclose an entity; None where
     no term does. Counts are over all documents; ``min_contexts`` is for callers
     who want pairs of few contexts left out."""
-    seen = found.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), F.explode("spans").alias("s"))
-    seen = seen.select("row", F.sha2(F.lower(F.concat_ws(":", "s.kind", "s.value")), 256).alias("entity"), F.col("s.context").alias("context"))
-    entity = seen.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
-    words = seen.select("row", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)))).alias("term"))
+    seen = found.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), "h", "spans", "terms")
+    entities = F.array_distinct(F.transform("spans", lambda s: F.sha2(F.lower(F.concat_ws(":", s["kind"], s["value"])), 256)))
+    holds = seen.select("row", F.explode(entities).alias("entity"))
+    # Entities of the same documents have the same counts with every term: one of them stands for all.
+    entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(F.xxhash64("row")).alias("rows"))
+    entity = entity.groupBy("n_e", "low", "high", "rows").agg(F.min("entity").alias("entity"))
     total = docs.count()
     p_e = F.col("n_e") / F.lit(float(max(total, 1)))
 
-    def share(n_t: str) -> Column:
-        given = (F.col("contexts") * F.col("n_te") / F.col(n_t) + PRIOR * p_e) / (F.col("contexts") + PRIOR)
+    def share(n_te: Column, n_t: Column, contexts: Column) -> Column:
+        given = (contexts * n_te / n_t + PRIOR * p_e) / (contexts + PRIOR)
         return F.when(F.col("n_e") < total, 1 - F.log2(given) / F.log2(p_e)).otherwise(F.lit(0.0))
 
-    both = words.groupBy("term", "entity").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("c").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    # A term is in as many documents as it has contexts in, at least; that bounds
-    # its share from above, and terms of the common language go before they are counted.
-    near = words.groupBy("term").agg(F.countDistinct("row").alias("n_near"))
-    both = cut(both.join(entity, "entity").join(near, "term").filter(share("n_near") >= generalise))
+    # A term is in as many documents as it is in with any entity, at least; that bounds
+    # its share from above, and terms of the common language go before pairs are counted.
+    near = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.least("n_e", "n_near")
+    held_by = holds.join(entity.select("entity", "n_e"), "entity").groupBy("row").agg(F.collect_list(F.struct(F.xxhash64("entity").alias("entity"), "n_e")).alias("held"))
+    words = seen.join(held_by, "row").select("h", "held", F.explode("terms").alias("term")).join(_few(near), "term")
+    pairs = words.select("h", "term", "n_near", F.inline("held")).filter(share(most, F.col("n_near"), most) >= generalise)
+    both = pairs.groupBy("term", "entity", "n_e", "n_near", "h").agg(F.count("*").alias("n")).groupBy("term", "entity", "n_e", "n_near").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts"))
+    both = cut(both.filter((F.col("contexts") >= min_contexts) & (share(F.col("n_te"), F.col("n_near"), F.col("contexts")) >= generalise)))
     if both.isEmpty():
         return None
-    found_in = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))
-    uses, names = _texts(docs).select(F.explode(found_in).alias("term")), both.select("term").distinct()
+    uses, names = _texts(docs).select(F.explode(_terms()).alias("term")), both.select("term").distinct()
     if names.count() <= BROADCAST_ROWS:
         uses = uses.join(F.broadcast(names), "term")
     n_t = uses.groupBy("term").agg(F.count("*").alias("n_t"))
-    worst = both.join(n_t, "term").groupBy("term").agg(F.max(share("n_t")).alias("share")).filter(F.col("share") >= generalise)
+    worst = both.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_te"), F.col("n_t"), F.col("contexts"))).alias("share")).filter(F.col("share") >= generalise)
     chosen = cut(worst.select("term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind")))
     if chosen.isEmpty():
         return None
     # The list of terms is broadcast while it is short; a longer one is joined by a shuffle.
-    held = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(found_in).alias("term")).join(_few(chosen), "term")
+    held = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(_terms()).alias("term")).join(_few(chosen), "term")
     return held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "term"))).alias("terms"))
 
 

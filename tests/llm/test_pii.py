@@ -110,6 +110,17 @@ def test_a_name_beside_an_address_seen_once(spark):
     assert clean == dict(enumerate(texts[:199]))
 
 
+def test_names_far_from_an_address(spark):
+    """The whole document is the context; terms may be short, long, or hold digits and hyphens."""
+    fill = "common words about the open field and mail "
+    names = ["Bo", "AB12", "Anne-Quill", "x" * 60, "4711"]
+    odd = "q@corp.example " + fill * 20 + "".join(f"and {n} " for n in names) + fill * 20 + "Bo"
+    df = spark.createDataFrame([*((i, fill) for i in range(299)), (299, odd)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean.pop(299) == "[EMAIL] " + fill * 20 + "and [TERM] " * 5 + fill * 20 + "[TERM]"
+    assert set(clean.values()) == {fill}
+
+
 def test_sanitise_keeps_rows_and_columns(spark):
     rows = [(None, "a@b.cd", "x"), (1, None, "y"), (1, "4111111111111111, 10.0.0.1", "z"), (1, "4111111111111111, 10.0.0.1", "z"), (2, "+1 (968) 555-2281", "_id")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _id string")

@@ -161,16 +161,20 @@ def lzw_decode(data: np.ndarray, minimum: int) -> np.ndarray:
             return _expand(kept, starts, clear)
     parts, at = [], 0
     while at + w0 <= n_bits:  # one run between clear codes at a time
-        k = np.arange(1, max(2, (n_bits - at) // w0 + 1))
-        k = k[: 1 << 16] if len(k) > 1 << 16 else k
-        width = np.full(len(k), w0)
-        for w in range(w0, 12):
-            width[k > (1 << w) - first + 1] = w + 1
-        begin = at + np.concatenate([[0], np.cumsum(width)])[:-1]
-        fits = begin + width <= n_bits
-        begin, width = begin[fits], width[fits]
-        run = _codes(bits, begin, width)
-        ends = np.flatnonzero((run == clear) | (run == clear + 1))
+        limit = 1 << 16
+        while True:
+            k = np.arange(1, max(1, min(limit, (n_bits - at) // w0)) + 1)
+            width = np.full(len(k), w0)
+            for w in range(w0, 12):
+                width[k > (1 << w) - first + 1] = w + 1
+            begin = at + np.concatenate([[0], np.cumsum(width)])[:-1]
+            fits = begin + width <= n_bits
+            begin, width = begin[fits], width[fits]
+            run = _codes(bits, begin, width)
+            ends = np.flatnonzero((run == clear) | (run == clear + 1))
+            if len(ends) or len(run) < limit:
+                break
+            limit *= 4  # the clear code is deferred: codes go on with the same table
         m = int(ends[0]) if len(ends) else len(run)
         if m:
             # A full table adds no entries, so later codes may only use the first 4096.

@@ -61,6 +61,17 @@ def test_lzw_decodes_compressed_streams(minimum, size):
     assert (g.lzw_decode(lzw_plain(same, minimum), minimum)[:size] == same).all()
 
 
+@pytest.mark.parametrize("minimum", [2, 8])
+def test_lzw_decodes_a_deferred_clear(minimum):
+    """Codes go on at 12 bits with a full table, past 65,536 of them."""
+    data = np.random.default_rng(minimum).integers(0, 1 << minimum, 600_000 if minimum == 8 else 900_000).astype(np.uint8)
+    stream = lzw_plain(data, minimum, clear_when_full=False)
+    assert len(stream) * 8 // 12 > 2 << 16
+    assert (g.lzw_decode(stream, minimum)[: len(data)] == data).all()
+    with_clear = lzw_plain(data, minimum)
+    assert (g.lzw_decode(with_clear, minimum)[: len(data)] == data).all()
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 254 * 64, 65536, 65537, 300_000])
 def test_payload_round_trip(size):
     data = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.partitioning import hash_bucket
 from .base import Operation
 
+if TYPE_CHECKING:
+    from ..plans.planner import Rates
+
 
 class Sort(Operation):
-    """Ascending by one column, missing values last. Behind an exchange of n
-    partitions the partitions are ranges, sorted inside, in order; else a global sort."""
+    """Ascending by one column, missing values last. Where its own exchange of n
+    partitions dealt the rows, these are ranges in order and are sorted inside; else
+    it is a global sort."""
 
     def __init__(self, key: str):
         self.key = key
@@ -39,23 +46,46 @@ class Groupby(Operation):
 
 
 class Exchange(Operation):
-    """All-to-all exchange at the end of a stage. The next stage's first ``Sort``
-    makes it a range exchange, its first ``Groupby`` a hash exchange; without
-    either rows are dealt evenly. Without ``partitions`` adaptive execution
-    chooses their number."""
+    """All-to-all exchange at the end of a stage. The next stage's last ``Sort`` or
+    ``Groupby`` decides its kind: ranges or hashes; without either rows are dealt evenly.
+
+    ``partitions`` fixes the number of partitions; ``rates`` lets the cost model
+    choose it by the plan's estimated size (or ``size`` bytes); without both
+    adaptive execution chooses. ``stable`` deals a Groupby's rows by
+    ``hash_bucket``: partition p holds bucket p in every engine and release."""
 
-    def __init__(self, partitions: int | None = None):
+    def __init__(self, partitions: int | None = None, rates: Rates | None = None, size: int | None = None, stable: bool = False):
         if partitions is not None and partitions < 1:
             raise ValueError("partitions must be positive")
-        self.partitions = partitions
+        if stable and partitions is None and rates is None:
+            raise ValueError("stable buckets need a number of partitions")
+        self.partitions, self.rates, self.size, self.stable = partitions, rates, size, stable
+
+    @property
+    def fixed(self) -> bool:
+        """Whether the number of partitions is chosen here and not by Catalyst."""
+        return self.partitions is not None or self.rates is not None
+
+    def count(self, df: DataFrame) -> int | None:
+        """The number of partitions for these rows; None where it's left open."""
+        if self.partitions is not None or self.rates is None:
+            return self.partitions
+        from ..plans.planner import worker_count
+
+        size = self.size if self.size is not None else int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return worker_count(size, self.rates)
 
     def deal(self, df: DataFrame, by: Operation | None) -> DataFrame:
-        n = [self.partitions] if self.partitions else []
+        n = self.count(df)
+        if self.stable and isinstance(by, Groupby):
+            # A null key has no hash; it goes to the first bucket.
+            return df.repartitionById(n, F.coalesce(hash_bucket(by.key, n), F.lit(0)).cast("int"))
+        some = [n] if n else []
         if isinstance(by, Sort):
-            return df.repartitionByRange(*n, by.order())
+            return df.repartitionByRange(*some, by.order())
         if isinstance(by, Groupby):
-            return df.repartition(*n, F.col(by.key))
-        return df.repartition(*n) if n else df.hint("rebalance")
+            return df.repartition(*some, F.col(by.key))
+        return df.repartition(*some) if n else df.hint("rebalance")
 
     def explain(self) -> str:
-        return f"Exchange ({self.partitions or 'adaptive'})"
+        return f"Exchange ({self.partitions or ('cost model' if self.rates else 'adaptive')})"

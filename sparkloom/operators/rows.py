@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 
 from .base import Operation
-from .pandas_partition import whole_partition
+from .pandas_partition import each_batch, whole_partition
 
 
 def _name(action: Any) -> str:
@@ -55,10 +55,15 @@ class Reduce(Operation):
     partial sums before the shuffle), or a function of each partition's frame.
 
     A function sees a partition, not a group: behind a hash exchange all rows of
-    a key are in it, without an exchange the result depends on the partitions."""
+    a key are in it, without an exchange the result depends on the partitions.
+    ``combine`` (with ``combine_schema``) turns some of a key's rows into partial
+    rows before the exchange, batch by batch, and the function then gets those: a hot
+    key is no longer one task's rows. A combine must keep the key column."""
 
-    def __init__(self, action: Sequence[Column] | Column | Callable, schema: Any = None):
-        self.action, self.schema = action, schema
+    def __init__(self, action: Sequence[Column] | Column | Callable, schema: Any = None, combine: Callable | None = None, combine_schema: Any = None):
+        if (combine is None) != (combine_schema is None):
+            raise ValueError("combine and combine_schema go together")
+        self.action, self.schema, self.combine, self.combine_schema = action, schema, combine, combine_schema
 
     @property
     def declarative(self) -> bool:
@@ -68,6 +73,10 @@ class Reduce(Operation):
         columns = [self.action] if isinstance(self.action, Column) else list(self.action)
         return (df.groupBy(key) if key is not None else df.groupBy()).agg(*columns)
 
+    def partial(self, df: DataFrame) -> DataFrame:
+        """Partial rows of ``combine``."""
+        return each_batch(df, self.combine, self.combine_schema)
+
     def run(self, df: DataFrame) -> DataFrame:
         if self.declarative:
             return self.aggregate(df, None)

@@ -14,12 +14,14 @@ from ..operators import Collect, Exchange, Groupby, Operation, Reduce, Sample, S
 
 @dataclass
 class Result:
-    """What a job returns: its last stage's plan, and rows, a path or row counts."""
+    """What a job returns: its last stage's plan, and rows, a path or row counts;
+    ``sinks`` has the same of every stage that ends the job, by number."""
 
     df: DataFrame
     rows: pd.DataFrame | None = None
     path: str | None = None
     counts: dict[int, int] = field(default_factory=dict)
+    sinks: dict[int, Result] = field(default_factory=dict)
 
 
 class Job:
@@ -59,30 +61,39 @@ class Job:
             waiting = [s for s in waiting if s not in ready]
         return done
 
-    def _deciding(self, stage: int) -> Operation | None:
-        """The first Sort or Groupby of a stage's child."""
-        for p, c in self.dependencies:
-            if p == stage:
-                found = [op for op in self.stages[c] if isinstance(op, Sort | Groupby)]
-                if found:
-                    return found[0]
+    def _deciding(self, stage: int, columns: list[str] | None = None) -> Operation | None:
+        """The last Sort or Groupby of a stage's children; of those, where ``columns``
+        are given, whose key the stage's rows have already."""
+        found = [op for p, c in self.dependencies if p == stage for op in self.stages[c] if isinstance(op, Sort | Groupby)]
+        here = [op for op in found if columns is None or op.key in columns]
+        return (here or found or [None])[-1]
+
+    def _combining(self, stage: int, by: Operation | None) -> Reduce | None:
+        """The opaque Reduce with a combine that is all a stage's exchange serves: first
+        operator behind the deciding Groupby, itself the first of the only child."""
+        children = [self.stages[c] for p, c in self.dependencies if p == stage]
+        if len(children) == 1 and len(ops := children[0]) > 1 and ops[0] is by and isinstance(ops[1], Reduce) and ops[1].combine is not None:
+            return ops[1]
         return None
 
     def plan(self, spark: SparkSession) -> dict[int, DataFrame]:
         """Each stage's lazy result."""
         parent = {c: p for p, c in self.dependencies}
         out: dict[int, DataFrame] = {}
+        ranged: dict[int, Operation | None] = {}  # what decided an exchange of n partitions
         for s in self.order():
             ops = self.stages[s]
             if s in parent:
-                dealt = next((op for op in reversed(self.stages[parent[s]]) if isinstance(op, Exchange)), None)
-                out[s] = self._apply(ops, out[parent[s]], dealt)
+                out[s] = self._apply(ops, out[parent[s]], ranged.get(parent[s]))
             else:
                 if not ops[0].is_source:
                     raise ValueError(f"stage {s} has neither a parent nor a source")
                 out[s] = self._apply(ops[1:], ops[0].read(spark), None)
             if isinstance(ops[-1], Exchange):
-                by = self._deciding(s)
+                by = self._deciding(s, out[s].columns)
+                ranged[s] = by if ops[-1].fixed else None
+                if reduce := self._combining(s, by):
+                    out[s] = reduce.partial(out[s])
                 if not self._left_to_catalyst(s, by):
                     out[s] = ops[-1].deal(out[s], by)
         return out
@@ -91,16 +102,17 @@ class Job:
         """Declarative sorts and aggregates without a fixed number of partitions
         need no exchange of ours: Catalyst adds one, behind partial sums."""
         exchange = self.stages[stage][-1]
-        if exchange.partitions or by is None:
+        if exchange.fixed or by is None:
             return False
         if isinstance(by, Sort):
             return True
-        ops = next(self.stages[c] for p, c in self.dependencies if p == stage)
+        ops = next(self.stages[c] for p, c in self.dependencies if p == stage and by in self.stages[c])
         after = ops[ops.index(by) + 1 :]
         return bool(after) and isinstance(after[0], Reduce) and after[0].declarative
 
-    def _apply(self, ops: list[Operation], df: DataFrame, dealt: Exchange | None) -> DataFrame:
-        key = None
+    def _apply(self, ops: list[Operation], df: DataFrame, ranged: Operation | None) -> DataFrame:
+        """``ranged``: the operator by whose key an exchange of n partitions dealt the rows."""
+        key, moved = None, False
         for k, op in enumerate(ops):
             if isinstance(op, Scan):
                 raise ValueError("a source must be the first operator of a stage without a parent")
@@ -110,9 +122,9 @@ class Job:
             elif isinstance(op, Groupby):
                 key = op.key
             elif isinstance(op, Sort):
-                df = op.run_in_partitions(df) if dealt is not None and dealt.partitions else op.run(df)
+                df, moved = (op.run_in_partitions(df), moved) if op is ranged and not moved else (op.run(df), True)
             elif isinstance(op, Reduce) and op.declarative:
-                df, key = op.aggregate(df, key), None
+                df, key, moved = op.aggregate(df, key), None, True
             else:
                 df = op.run(df)
         return df
@@ -125,22 +137,24 @@ class Job:
         return getattr(self.stages[stage][0], "path", None)
 
     def run(self, spark: SparkSession) -> Result:
-        """Runs the last stage's sink; without one, counts the rows of each partition."""
+        """Runs the sink of every stage that ends the job; without a sink, counts the
+        rows of each partition. The result is that of the last one."""
         frames = self.plan(spark)
         parents = {p for p, _ in self.dependencies}
         ends = [s for s in self.order() if s not in parents]
-        result = None
+        sinks: dict[int, Result] = {}
         for s in ends:
             last, df = self.stages[s][-1], frames[s]
             if isinstance(last, Collect):
-                result = Result(df, rows=df.toPandas())
+                sinks[s] = Result(df, rows=df.toPandas())
             elif isinstance(last, Write):
-                result = Result(df, path=last.write(df, self._source(s)))
+                sinks[s] = Result(df, path=last.write(df, self._source(s)))
             else:
-                result = Result(df, counts={r.partition: r.rows for r in partition_counts(df).collect()})
-        if result is None:
+                sinks[s] = Result(df, counts={r.partition: r.rows for r in partition_counts(df).collect()})
+        if not sinks:
             raise ValueError("the job has no stages")
-        return result
+        result = sinks[ends[-1]]
+        return Result(result.df, result.rows, result.path, result.counts, sinks)
 
     def explain(self, spark: SparkSession | None = None) -> str:
         """The stages as text, any time; with a session, the physical plans too."""

@@ -8,8 +8,12 @@ import math
 from dataclasses import dataclass
 
 MIB = 1 << 20
-#: Bytes read at once.
+# Fixed values of the cost model: bytes read at once, a worker's memory, the least and
+# the most of it that data may use, the fewest and the most workers looked at.
 CHUNK = 64 * MIB
+WORKER_BYTES = 2048 * MIB
+LEAST_USE, MOST_USE = 0.05, 0.5
+FEWEST, MOST = 3, 1000
 
 
 @dataclass(frozen=True)
@@ -38,11 +42,11 @@ def stage_seconds(size: float, workers: int, rates: Rates, chunk: int = CHUNK) -
     return _pass_seconds(size, workers, rates.read_bandwidth, objects, rates.read_requests) + shuffle_seconds(size, workers, rates, chunk) + _pass_seconds(size, workers, rates.write_bandwidth, objects, rates.write_requests)
 
 
-def worker_count(size: float, rates: Rates, worker_bytes: int = 2048 * MIB, least_use: float = 0.05, most_use: float = 0.5, at_most: int = 1000) -> int:
+def worker_count(size: float, rates: Rates, worker_bytes: int = WORKER_BYTES, least_use: float = LEAST_USE, most_use: float = MOST_USE, at_most: int = MOST) -> int:
     """The cheapest number of workers whose share of the data fits between the
     memory bounds; the fewest on a tie. Above what ``at_most`` workers hold within
     the upper bound, the number that fits is returned all the same."""
-    low = max(int(size / (worker_bytes * most_use)), 3)
+    low = max(int(size / (worker_bytes * most_use)), FEWEST)
     high = max(min(int(size / (worker_bytes * least_use)), at_most), low)
     return min(range(low, high + 1), key=lambda p: (shuffle_seconds(size, p, rates), p))
 

@@ -260,3 +260,94 @@ def test_objects(spark, tmp_path):
 def test_write_beside_the_source(spark, terasort):
     result = sl.Job().add(0, sl.Scan(terasort)).add(0, sl.Filter("`1` < 10")).add(0, sl.Write()).run(spark)
     assert result.path == f"{terasort}-out" and spark.read.parquet(result.path).count() == 10
+
+
+# --- exchanges and sinks ---
+
+
+def test_sort_behind_a_groupby_is_global(spark):
+    df = spark.range(1000).selectExpr("id % 37 AS k", "(id * 7919) % 1000 AS v")
+    job = sl.Job().add(0, sl.Scan("x.parquet")).add(0, sl.Exchange(8))
+    job.add(1, sl.Groupby("k")).add(1, sl.Reduce([F.sum("v").alias("s")])).add(1, sl.Sort("s")).dependency(0, 1)
+    job.stages[0][0].read = lambda _: df
+    assert is_sorted(job.plan(spark)[1], "s")
+    two = sl.Job().add(0, sl.Scan("x.parquet")).add(0, sl.Exchange(8)).add(1, sl.Sort("k")).add(1, sl.Sort("v")).dependency(0, 1)
+    two.stages[0][0].read = lambda _: df
+    out = two.plan(spark)[1]
+    assert is_sorted(out, "v") and out.count() == 1000
+
+
+def test_the_last_sort_or_groupby_decides(spark):
+    df = spark.range(1000).selectExpr("id % 37 AS k", "(id * 7919) % 1000 AS v")
+
+    def plan(*ops):
+        job = sl.Job().add(0, sl.Scan("x.parquet")).add(0, sl.Exchange(8))
+        for op in ops:
+            job.add(1, op)
+        job.dependency(0, 1).stages[0][0].read = lambda _: df
+        return job.plan(spark)[0]._jdf.queryExecution().toString()
+
+    assert "hashpartitioning(k" in plan(sl.Sort("v"), sl.Groupby("k"))
+    assert "rangepartitioning(v" in plan(sl.Groupby("k"), sl.Sort("v"))
+
+
+def test_stable_buckets_are_the_partitions(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(k,) for k in ["a", "b", "é", "", None] * 3], "k string")
+    got = sl.Exchange(5, stable=True).deal(df, sl.Groupby("k")).select("k", F.spark_partition_id().alias("p")).collect()
+    assert len(got) == 15
+    for r in got:
+        assert r.p == (0 if r.k is None else int(hashlib.md5(r.k.encode()).hexdigest(), 32) % 5)
+    with pytest.raises(ValueError):
+        sl.Exchange(stable=True)
+
+
+def test_exchange_by_the_cost_model(spark):
+    rates = Rates(1e8, 1e8, 1000, 1000)
+    df = spark.range(100)
+    out = sl.Exchange(rates=rates, size=10**10).deal(df, sl.Groupby("id"))
+    assert out.rdd.getNumPartitions() == worker_count(10**10, rates) > 3
+    assert sl.Exchange(rates=rates).deal(df, None).rdd.getNumPartitions() == 3 and "cost model" in sl.Exchange(rates=rates).explain()
+
+
+def test_combine_before_the_exchange(spark):
+    df = spark.range(0, 30_000, 1, 4).selectExpr("IF(id % 3 = 0, 1, id % 11) AS k", "id AS v")
+    job = sl.Job().add(0, sl.Scan("x.parquet")).add(0, sl.Exchange(4))
+    add = lambda f: f.groupby("k", as_index=False).v.sum()
+    job.add(1, sl.Groupby("k")).add(1, sl.Reduce(add, "k long, v long", combine=add, combine_schema="k long, v long")).dependency(0, 1)
+    job.stages[0][0].read = lambda _: df
+    plans = job.plan(spark)
+    assert plans[0].count() <= 11 * (30_000 // 1000 + 4)
+    assert sorted(map(tuple, plans[1].collect())) == sorted(map(tuple, df.groupBy("k").sum("v").collect()))
+    with pytest.raises(ValueError):
+        sl.Reduce(add, "k long", combine=add)
+
+
+def test_several_sinks(spark, terasort, tmp_path):
+    job = sl.Job().add(0, sl.Scan(terasort)).add(0, sl.Exchange(3))
+    job.add(1, sl.Filter("`1` < 10")).add(1, sl.Collect()).add(2, sl.Filter("`1` >= 10")).add(2, sl.Write(str(tmp_path / "rest"))).add(3, sl.Transform(["`0`"]))
+    found = job.dependency(0, 1).dependency(0, 2).dependency(0, 3).run(spark)
+    assert len(found.sinks[1].rows) == 10 and spark.read.parquet(found.sinks[2].path).count() == 4990
+    assert sum(found.sinks[3].counts.values()) == 5000 == sum(found.counts.values())
+
+
+def test_samples_by_columns_are_the_same_in_any_order(spark, sf):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    take = sl.Sample("l_orderkey", 0.2, by=["l_orderkey", "l_linenumber", "l_partkey"])
+    a, b = (sorted(r[0] for r in take.run(df).collect()) for df in (line, line.repartition(7)))
+    assert a == b and 1000 < len(a) < 1400
+
+
+def test_bounds_of_odd_keys(spark):
+    one = spark.createDataFrame([(5,)] * 3 + [(None,)], "n int")
+    assert segment_bounds(one, "n", 4) == [5.0, 5.0, 5.0]
+    rng = pd.Series(range(101)).sample(frac=1, random_state=1)
+    df = spark.createDataFrame([(float(x) ** 2,) for x in rng], "n double")
+    assert segment_bounds(df, "n", 3) == pytest.approx(list(pd.Series([float(x) ** 2 for x in range(101)]).quantile([1 / 3, 2 / 3])))
+
+
+def test_shared_folder_of_a_local_master_only(spark):
+    from sparkloom.session import shared_path
+
+    assert shared_path(spark, "a").startswith(spark.sparkContext.getCheckpointDir()) and shared_path(spark, "a") != shared_path(spark, "a")

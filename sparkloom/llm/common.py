@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_dir, shared_path, ship_package  # noqa: F401
 
 U64 = np.uint64
 #: Bytes that end a word: space and 0x09-0x0D.
@@ -45,18 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

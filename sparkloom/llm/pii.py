@@ -15,15 +15,20 @@ scored, once-seen ones too. p(e|t) is smoothed towards p(e) with the weight of
 contexts lower the share instead of excluding the pair. The context is the whole
 document, and copies of one text are one context. Terms are runs of letters,
 marks and digits of any length, joined by hyphens or apostrophes, but not parts
-of addresses. A term is generalised where its largest share reaches
-``GENERALISE`` and removed where it reaches ``REMOVE``, wherever it occurs.
-p counts all documents.
+of addresses. p counts all documents.
+
+A term is generalised (to its wider class: a name, word, number or code) where its
+share reaches ``GENERALISE`` and removed where it reaches ``REMOVE``: in the
+documents of the entities it discloses, and in all others too if it was seen with
+one of them in ``ELSEWHERE`` different contexts. Rare words of the common language
+would otherwise be masked in documents that hold no personal data at all.
 
 Defined cases: null text is empty and has no spans; kinds may overlap, spans of a
 kind don't; overlapping spans are masked as one; null ids are kept; repeated
 rows each get their spans; other columns are kept by ``sanitise``, whose result
 has the input's columns. Texts are never shuffled unless more than
-``BROADCAST_ROWS`` rows need their spans.
+``BROADCAST_ROWS`` rows need their spans. A text with n matches costs n * sqrt(n)
+small steps at most; no step copies what it has made so far for each match.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ from .common import cut, table
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
 GENERALISE, REMOVE, PRIOR = 0.8, 0.95, 1.0
-BROADCAST_ROWS = 500_000
+#: Different contexts with an entity from which a term is masked in documents without the entity, too.
+ELSEWHERE = 3
+BROADCAST_ROWS = 100_000
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -47,7 +54,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 _TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])[\p{L}\p{M}\p{N}]++(?:[-'’][\p{L}\p{M}\p{N}]++)*+(?![@_%+-])"
 
@@ -82,19 +89,55 @@ def _matches(kind: str) -> Column:
     return F.when(may, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _located(kind: str, found: Column) -> Column:
-    """Valid spans of the matches ``found``, by the gaps between all matches."""
-    gaps = F.slice(F.split(F.col("t"), PATTERNS[kind], -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(_SPAN).alias("out"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(values: Column, op, zero: int = 0) -> Column:
+    """For each place of an array of longs, ``op`` over all values before it.
+
+    Arrays only grow by copies, so the values are cut into blocks of the root of
+    their number: n values cost about n * sqrt(n) copied longs, not n * n."""
+    first = F.lit(zero).cast("long")
+
+    def grow(array: Column, start: Column, value) -> Column:
+        return F.aggregate(array, F.array(start), lambda done, x: F.concat(done, F.array(value(F.element_at(done, -1), x))))
+
+    def scan(v: Column) -> Column:
+        def cut_by(b: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / b).cast("int") - 1), lambda k: F.slice(v, k * b + 1, b))
+
+            def joined(parts: Column) -> Column:
+                bases = F.slice(grow(parts, first, lambda a, part: F.aggregate(part, a, op)), F.lit(1), F.size(parts))
+                return F.flatten(F.zip_with(parts, bases, lambda part, base: F.slice(grow(part, base, op), F.lit(1), F.size(part))))
+
+            return _let(blocks, joined)
+
+        return F.when(F.size(v) > 0, _let(F.ceil(F.sqrt(F.size(v))).cast("int"), cut_by)).otherwise(F.array().cast("array<bigint>"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))
-        return F.struct(end.alias("pos"), F.when(_valid(kind, x["m"]), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+    return _let(values.cast("array<bigint>"), scan)
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+
+def _places(found: Column, pattern: str) -> Column:
+    """Spans (start, end, value) of all matches ``found`` of a pattern in the text ``t``,
+    by the gaps between them."""
+
+    def spans(m: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(F.col("t"), pattern, -1), F.lit(1), F.size(m)), lambda g: F.length(g).cast("long"))
+
+        def placed(g: Column) -> Column:
+            before = _scan(F.zip_with(g, m, lambda x, v: x + F.length(v)), lambda a, x: a + x)
+            starts = F.zip_with(before, g, lambda a, x: a + x)
+            return F.zip_with(starts, m, lambda at, v: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value")))
+
+        return F.when(F.size(m) > 0, _let(gaps, placed)).otherwise(F.array().cast(_SPAN))
+
+    return _let(found, spans)
+
+
+def _located(kind: str, found: Column) -> Column:
+    return F.filter(_places(found, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -120,45 +163,54 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "spans", F.when(F.size("spans") > 0, _terms()).alias("terms"))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = 1) -> DataFrame | None:
-    """(doc_id, h, terms): documents with terms that disclose an entity; None where
-    no term does. Counts are over all documents; ``min_contexts`` is for callers
-    who want pairs of few contexts left out."""
-    seen = found.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), "h", "spans", "terms")
+def _shares(total: int):
+    """The share of an entity's information that a term discloses, as a Column of counts."""
+    p_e = F.col("n_e") / F.lit(float(max(total, 1)))
+
+    def share(n_te: Column, n_t: Column, contexts: Column) -> Column:
+        given = (contexts * n_te / n_t + PRIOR * p_e) / (contexts + PRIOR)
+        return F.when(F.col("n_e") < total, 1 - F.log2(given) / F.log2(p_e)).otherwise(F.lit(0.0))
+
+    return share
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = 1, elsewhere: int = ELSEWHERE) -> DataFrame | None:
+    """(doc_id, h, term, kind): the terms to mask in each document; None where no term
+    discloses an entity. Counts are over all documents; ``min_contexts`` is for
+    callers who want pairs of few contexts left out."""
+    seen = found.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "spans", "terms")
     entities = F.array_distinct(F.transform("spans", lambda s: F.sha2(F.lower(F.concat_ws(":", s["kind"], s["value"])), 256)))
     holds = seen.select("row", F.explode(entities).alias("entity"))
     # Entities of the same documents have the same counts with every term: one of them stands for all.
     entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(F.xxhash64("row")).alias("rows"))
     entity = entity.groupBy("n_e", "low", "high", "rows").agg(F.min("entity").alias("entity"))
     total = docs.count()
-    p_e = F.col("n_e") / F.lit(float(max(total, 1)))
-
-    def share(n_te: Column, n_t: Column, contexts: Column) -> Column:
-        given = (contexts * n_te / n_t + PRIOR * p_e) / (contexts + PRIOR)
-        return F.when(F.col("n_e") < total, 1 - F.log2(given) / F.log2(p_e)).otherwise(F.lit(0.0))
+    share = _shares(total)
 
     # A term is in as many documents as it is in with any entity, at least; that bounds
     # its share from above, and terms of the common language go before pairs are counted.
     near = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     most = F.least("n_e", "n_near")
     held_by = holds.join(entity.select("entity", "n_e"), "entity").groupBy("row").agg(F.collect_list(F.struct(F.xxhash64("entity").alias("entity"), "n_e")).alias("held"))
-    words = seen.join(held_by, "row").select("h", "held", F.explode("terms").alias("term")).join(_few(near), "term")
-    pairs = words.select("h", "term", "n_near", F.inline("held")).filter(share(most, F.col("n_near"), most) >= generalise)
+    words = seen.join(held_by, "row").select("row", "doc_id", "h", "held", F.explode("terms").alias("term")).join(near, "term")
+    pairs = cut(words.select("row", "doc_id", "h", "term", "n_near", F.inline("held")).filter(share(most, F.col("n_near"), most) >= generalise))
     both = pairs.groupBy("term", "entity", "n_e", "n_near", "h").agg(F.count("*").alias("n")).groupBy("term", "entity", "n_e", "n_near").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts"))
     both = cut(both.filter((F.col("contexts") >= min_contexts) & (share(F.col("n_te"), F.col("n_near"), F.col("contexts")) >= generalise)))
     if both.isEmpty():
         return None
-    uses, names = _texts(docs).select(F.explode(_terms()).alias("term")), both.select("term").distinct()
-    if names.count() <= BROADCAST_ROWS:
-        uses = uses.join(F.broadcast(names), "term")
+    # One pass over all texts finds every use of the terms that are left.
+    names = both.select("term").distinct()
+    uses = cut(_texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(_terms()).alias("term")).join(_few(names), "term"))
     n_t = uses.groupBy("term").agg(F.count("*").alias("n_t"))
-    worst = both.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_te"), F.col("n_t"), F.col("contexts"))).alias("share")).filter(F.col("share") >= generalise)
-    chosen = cut(worst.select("term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind")))
-    if chosen.isEmpty():
+    scored = both.join(n_t, "term").withColumn("share", share(F.col("n_te"), F.col("n_t"), F.col("contexts"))).filter(F.col("share") >= generalise)
+    scored = cut(scored.select("term", "entity", "contexts", "share"))
+    if scored.isEmpty():
         return None
-    # The list of terms is broadcast while it is short; a longer one is joined by a shuffle.
-    held = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(_terms()).alias("term")).join(_few(chosen), "term")
-    return held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "term"))).alias("terms"))
+    own = pairs.join(_few(scored), ["term", "entity"]).select("doc_id", "h", "term", "share")
+    wide = scored.filter(F.col("contexts") >= elsewhere).groupBy("term").agg(F.max("share").alias("share"))
+    other = uses.join(_few(wide), "term").select("doc_id", "h", "term", "share")
+    masks = own.unionByName(other).groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
+    return masks.select("doc_id", "h", "term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -166,24 +218,36 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, masks: DataFrame) -> DataFrame:
     """(doc_id, h, more): places of each document's terms, as whole words, any case."""
-    terms = cut(terms).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms")
-    rows = _texts(docs).withColumn("h", F.xxhash64("t")).join(_few(terms), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    # One pass over the words of a text for all its terms; texts are not shuffled.
-    words = F.regexp_extract_all("t", F.lit(_TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split("t", _TERM, -1), F.lit(1), F.size(words)), words, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), F.lower(m).alias("term")))
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("out"))
-    kinds = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["kind"].alias("kind"))))
-
-    def step(s: Column, p: Column) -> Column:
-        start = s["pos"] + p["gap"]
-        end, kind = start + p["n"], F.element_at(F.col("kinds"), p["term"])
-        span = F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("pos"), F.when(kind.isNotNull(), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
-
-    more = F.sort_array(F.aggregate(pairs, zero, step, lambda s: s["out"]))
-    return rows.withColumn("kinds", kinds).select("doc_id", "h", more.alias("more")).dropDuplicates(["doc_id", "h"])
+    masks = cut(masks)
+    kept = cut(masks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    rows = _texts(docs).withColumn("h", F.xxhash64("t")).join(_few(kept), same("doc_id", "_id") & same("h", "_h"), "left_semi")
+    # One pass over the words of a text for all its terms; each word with its place.
+    words = rows.select("doc_id", "h", F.explode(_places(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0)), _TERM)).alias("w"))
+    words = words.select("doc_id", "h", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.value").alias("word"))
+    wanted = masks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "term", "kind")
+    hits = words.join(_few(wanted), same("doc_id", "_id") & same("h", "_h") & (F.col("word") == F.col("term")))
+    return hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("more"))
+
+
+def _free(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that meet none of ``base``, in one sweep over both by start."""
+    tagged = F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))),
+        F.transform(more, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))),
+    )
+    far = 1 << 62
+
+    def sweep(all_: Column) -> Column:
+        before = _scan(F.transform(all_, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(F.lit(0))), lambda a, x: F.greatest(a, x))
+        after = F.reverse(_scan(F.reverse(F.transform(all_, lambda x: F.when(x["rank"] == 0, x["start"]).otherwise(F.lit(far)))), lambda a, x: F.least(a, x), far))
+        meets = F.zip_with(before, after, lambda low, high: F.struct(low.alias("low"), high.alias("high")))
+        kept = F.zip_with(all_, meets, lambda x, m: F.when((x["rank"] == 1) & (m["low"] <= x["start"]) & (m["high"] >= x["end"]), F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+        return F.sort_array(F.filter(kept, lambda x: x.isNotNull()))
+
+    return _let(F.array_sort(tagged), sweep)
 
 
 def find(docs: DataFrame, **thresholds: float) -> DataFrame:
@@ -196,8 +260,9 @@ def find(docs: DataFrame, **thresholds: float) -> DataFrame:
     more = term_spans(docs, terms).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
     both = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     # A term inside a pattern's span is covered already.
-    free = F.filter("more", lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    return both.select("doc_id", "h", F.concat(base, F.coalesce(free, F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))).alias("spans"), F.size("spans").alias("n_base"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    free = F.when(F.size("more") > 0, F.when(F.size("spans") > 0, _free(base, F.col("more"))).otherwise(F.col("more"))).otherwise(none)
+    return both.select("doc_id", "h", F.concat(base, F.coalesce(free, none)).alias("spans"), F.size("spans").alias("n_base"))
 
 
 def _written(spans: Column) -> Column:
@@ -211,21 +276,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
+def _class(value: Column) -> Column:
+    """The wider class that stands for a term: by what kind of word it is as written."""
+    first = F.substring(value, 1, 1)
+    return (
+        F.when(value.rlike("^[0-9]+$"), F.lit("[NUMBER]")).when(value.rlike(r"\p{N}"), F.lit("[CODE]"))
+        .when(first != F.lower(first), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
+    )
+
+
 def _masked(text: Column, spans: Column) -> Column:
-    """``text`` with each run of overlapping spans replaced by its first span's mask."""
+    """``text`` with each run of overlapping spans replaced by its first span's mask.
+
+    Pieces are cut from the text in 32 bits a character, where a place is an offset."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+    masks = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
+
+    def cut_out(wide: Column) -> Column:
+        def piece(low: Column, high: Column) -> Column:
+            """Characters low .. high - 1; the mark before them keeps a text's own mark from being read as one."""
+            return F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), F.substring(wide, (4 * low + 1).cast("int"), (4 * (high - low)).cast("int"))), "UTF-32")
 
-    def step(a: Column, s: Column) -> Column:
-        tag = F.element_at(F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv]), s["kind"])
-        between = F.substring(text, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int"))
-        fresh = s["start"] >= a["pos"]
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(a["out"], between, tag)).otherwise(a["out"]).alias("out"))
+        def joined(s: Column) -> Column:
+            ends = _scan(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+            parts = F.zip_with(s, ends, lambda x, done: F.when(x["start"] >= done, F.concat(piece(done, x["start"]), F.when(x["kind"] == "generalise", _class(piece(x["start"], x["end"]))).otherwise(F.element_at(masks, x["kind"])))).otherwise(F.lit("")))
+            last = F.array_max(F.transform(s, lambda x: x["end"]))
+            return F.concat(F.array_join(parts, ""), piece(last, F.length(wide) / 4))
 
-    def end(a: Column) -> Column:
-        return F.concat(a["out"], F.substring(text, (a["pos"] + 1).cast("int"), F.length(text)))
+        return _let(ordered, joined)
 
-    return F.aggregate(ordered, zero, step, end)
+    return _let(F.encode(text, "UTF-32"), cut_out)
 
 
 def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:

@@ -52,8 +52,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for a pattern to be tried.
-_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: What a text must hold, a character or a pattern, for a kind to be tried.
+_NEEDS = {"email": "@", "ip": "[.][0-9]+[.][0-9]+[.][0-9]", "card": "[0-9][ -]?[0-9]", "phone": "+"}
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 _TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])[\p{L}\p{M}\p{N}]++(?:[-'’][\p{L}\p{M}\p{N}]++)*+(?![@_%+-])"
@@ -85,7 +85,8 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _matches(kind: str) -> Column:
     t = F.col("t")
-    may = t.rlike("[0-9][ -]?[0-9]") if kind == "card" else F.contains(t, F.lit(_NEEDS[kind]))
+    need = _NEEDS[kind]
+    may = F.contains(t, F.lit(need)) if len(need) == 1 else t.rlike(need)
     return F.when(may, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -198,18 +199,18 @@ def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENER
     both = cut(both.filter((F.col("contexts") >= min_contexts) & (share(F.col("n_te"), F.col("n_near"), F.col("contexts")) >= generalise)))
     if both.isEmpty():
         return None
-    # One pass over all texts finds every use of the terms that are left.
-    names = both.select("term").distinct()
-    uses = cut(_texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(_terms()).alias("term")).join(_few(names), "term"))
-    n_t = uses.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Terms are counted over all texts, with partial counts before the shuffle.
+    n_t = _texts(docs).select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = both.join(n_t, "term").withColumn("share", share(F.col("n_te"), F.col("n_t"), F.col("contexts"))).filter(F.col("share") >= generalise)
     scored = cut(scored.select("term", "entity", "contexts", "share"))
     if scored.isEmpty():
         return None
-    own = pairs.join(_few(scored), ["term", "entity"]).select("doc_id", "h", "term", "share")
-    wide = scored.filter(F.col("contexts") >= elsewhere).groupBy("term").agg(F.max("share").alias("share"))
-    other = uses.join(_few(wide), "term").select("doc_id", "h", "term", "share")
-    masks = own.unionByName(other).groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
+    masks = pairs.join(_few(scored), ["term", "entity"]).select("doc_id", "h", "term", "share")
+    wide = cut(scored.filter(F.col("contexts") >= elsewhere).groupBy("term").agg(F.max("share").alias("share")))
+    if not wide.isEmpty():
+        uses = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(_terms()).alias("term"))
+        masks = masks.unionByName(uses.join(_few(wide), "term").select("doc_id", "h", "term", "share"))
+    masks = masks.groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
     return masks.select("doc_id", "h", "term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
 
 

@@ -132,3 +132,50 @@ def test_sanitise_keeps_rows_and_columns(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = pii.query(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    """Cost grows with the matches, not with their square."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    df = spark.createDataFrame([(0, "joe@corp.example mails, " * n), (1, "x")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = pii.base_spans(df).select(F.size("spans"), F.try_element_at("spans", F.lit(-1))["start"]).collect()
+    assert sorted(tuple(r) for r in got) == [(0, None), (n, 24 * (n - 1))]
+    assert time.perf_counter() - began < 60
+
+
+def test_masks_of_overlapping_spans_and_marks(spark):
+    from pyspark.sql import functions as F
+
+    text = "﻿a﻿😀 bcdef ghi﻿"
+    spans = [("email", 1, 4), ("card", 3, 6), ("phone", 5, 8), ("generalise", 9, 12), ("remove", 12, 13)]
+    df = spark.createDataFrame([(text, spans), (text, []), ("", [])], "t string, s array<struct<kind:string,start:bigint,end:bigint>>")
+    got = [r.m for r in df.select(F.when(F.size("s") > 0, pii._masked(F.col("t"), F.col("s"))).alias("m")).collect()]
+    assert got == [text[:1] + "[EMAIL]" + text[8] + "[WORD]" + text[13:], None, None]
+
+
+def test_terms_that_meet_spans_are_covered(spark):
+    from pyspark.sql import functions as F
+
+    rng = __import__("random").Random(4)
+    rows = []
+    for _ in range(60):
+        base = sorted({rng.randrange(0, 60, 5) for _ in range(rng.randrange(6))})
+        more = sorted({rng.randrange(60) for _ in range(rng.randrange(8))})
+        rows.append(([("email", a, a + rng.randrange(1, 5)) for a in base], [("generalise", a, a + 2) for a in more]))
+    kind = "array<struct<kind:string,start:bigint,end:bigint>>"
+    got = spark.createDataFrame(rows, f"b {kind}, m {kind}").select("b", "m", pii._free(F.col("b"), F.col("m")).alias("f")).collect()
+    for r in got:
+        assert [tuple(x) for x in r.f] == [tuple(m) for m in r.m if not any(s.start < m.end and m.start < s.end for s in r.b)]
+
+
+def test_clean_documents_keep_rare_words(spark):
+    """A rare word beside an address is masked there, not in documents without the address."""
+    fill = "common words about the open field and mail "
+    rows = [(i, fill) for i in range(298)] + [(298, fill + "zyzzyva"), (299, "q@corp.example " + fill + "zyzzyva")]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[299] == "[EMAIL] " + fill + "[WORD]" and clean[298] == fill + "zyzzyva"

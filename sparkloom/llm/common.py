@@ -229,37 +229,63 @@ def running_start(df: DataFrame, group: str, order: list, value: str, out: str,
     return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_g", "_b", "_base", "_in")
 
 
-def _all_stars(e: DataFrame) -> bool:
-    """Whether each node hangs from one root that hangs from none; a root is then the smallest, as v < u in all edges."""
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds each row's place, from 0, in the given order. Rows are sorted in the
+    partitions of a range exchange; only their counts, a row for each, meet in one task."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_p")).count()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), part == F.col("_p")).withColumn(out, place).drop("_at", "_p", "_start")
+
+
+def _all_stars(e: DataFrame) -> tuple[bool, int]:
+    """Whether each node hangs from one root that hangs from none; a root is then the
+    smallest, as v < u in all edges. With the number of edges."""
     n, distinct = e.agg(F.count("*"), F.countDistinct("u")).first()
-    return n == distinct and (n == 0 or e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty())
+    return n == distinct and (n == 0 or e.select("u").join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()), n
+
+
+def _with_least(e: DataFrame, each: int) -> DataFrame:
+    """``e`` with m, the least v of all edges of the same u.
+
+    Minima are pre-aggregated before their shuffle. A node with more than ``each``
+    edges is joined in as many parts, so that no node's edges are one task; such nodes
+    are few (edges / ``each``, about the root of the edges for large inputs), which
+    bounds the broadcast of their list."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / each).cast("int")
+    large = least.filter(F.col("n") > each).select("u", parts.alias("parts"))
+    salt = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("parts").cast("long")).cast("int"))
+    salted = e.join(F.broadcast(large), "u", "left").withColumn("salt", salt).drop("parts")
+    return salted.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")), ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of each node of ``edges`` (a, b): rows (node, root).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the
-    edges are stars. Nodes' minima are pre-aggregated before each shuffle, so a
-    node with very many neighbours costs a skewed join that adaptive execution
-    splits, never one task's list. Each round's edges are checkpointed.
+    edges are stars, each round's edges checkpointed. No step gathers the edges of
+    one node in one task (see ``_with_least``).
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(max_rounds):
-        if _all_stars(e):
+        done, n = _all_stars(e)
+        if done:
             break
+        each = rows_each(2 * n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
-        joined = large.join(small_min, F.col("u") == F.col("n"))
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_min.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        large = _with_least(both, each).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # Each node hands its least neighbour to the others and to itself.
+        e = cut(_with_least(large, each).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def rows_each(rows: int, least: int = 2_000) -> int:
+def rows_each(rows: int, least: int = 256) -> int:
     """Rows of a bucket of a running sum: as many as there are buckets, for large inputs."""
     return max(least, math.isqrt(max(rows, 0)))
 

@@ -1,9 +1,11 @@
-"""GIF media columns: encode bytes as frames, decode streams, histogram frames.
+"""GIF media columns: encode bytes as timed frames, decode streams, histogram frames.
 
-``encode_gif`` stores bytes losslessly as palette indices (an identity grey
-palette), 64 a row, in timed frames of up to ``FRAME_ROWS`` rows. Its LZW stream
-uses 9-bit literals with a clear code before the table would widen the codes, as
-any GIF reader accepts; that makes packing and unpacking array operations.
+``encode_gif`` stores bytes losslessly as palette indices, 64 a row, in timed frames
+of ``FRAME_ROWS`` rows, packed by LZW with dictionary codes of 9 to 12 bits. The
+palette gives each byte its own colour (three bits of red and green, two of blue).
+Each frame is cleared before the next one (disposal 2). Where the payload leaves
+index 255 free, as UTF-8 always does, the last frame is filled up with it as its
+transparent index, so that only pixels of the payload show.
 
 ``decode_gif`` reads any GIF87a/89a: global and local palettes, interlacing,
 delays, disposal, transparency, and any LZW stream. Codes are expanded without a
@@ -11,9 +13,14 @@ loop over them: an entry's string is a slice of the output before it, so every
 output byte points at an earlier one and pointers are doubled down to literals.
 ``canvases`` composes frames by transparency and disposal.
 
-Defined cases: null text is empty; empty text is one frame of 64 zeros; texts of
-any length are stored whole, in several frames if need be; a null id is kept;
-a damaged file raises ValueError; other columns aren't read.
+The query encodes texts (``encode_texts``) and derives everything else from the
+media column: frames are decoded and composed, and the payload is read off the
+colours of the composed canvases.
+
+Defined cases: null text is empty; empty text is one frame with a row of zeros;
+texts of any length are stored whole, in as many frames as they need; a null id is
+kept; null media have no frames; a damaged file raises ValueError; repeated rows are
+separate; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,10 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import table, text_runs
 
-WIDTH, FRAME_ROWS, DELAY_CS = 64, 1024, 10
-#: Codes of one width after a clear code: the clear code and 254 literals keep 9 bits.
-LITERALS = 254
-_GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+WIDTH, FRAME_ROWS, DELAY_CS, FREE = 64, 64, 10, 255
+#: Media bytes and pixels of an Arrow batch of frames.
+FLUSH = 8 << 20
+_BYTES = np.arange(256, dtype=np.uint8)
+#: Each byte's colour: the top three bits as red, the next three as green, the last two as blue.
+PALETTE = np.stack([_BYTES & 0xE0, (_BYTES << 3) & 0xE0, (_BYTES << 6) & 0xC0], axis=1).astype(np.uint8)
 
 
 @dataclass
@@ -60,26 +69,52 @@ class Gif:
 # --- LZW ----------------------------------------------------------------------
 
 
-def lzw_literals(data: np.ndarray) -> np.ndarray:
-    """LZW stream (minimum code size 8) of literals and clear codes, packed."""
-    n = len(data)
-    parts = -(-n // LITERALS)
-    grid = np.zeros((parts, LITERALS + 1), dtype=np.uint16)
-    grid[:, 0] = 256
-    body = np.zeros(parts * LITERALS, dtype=np.uint16)
-    body[:n] = data
-    grid[:, 1:] = body.reshape(parts, LITERALS)
-    used = n + parts + 1
-    codes = np.zeros(-(-used // 8) * 8, dtype=np.uint32)
-    codes[: n + parts] = grid.ravel()[: n + parts]
-    codes[n + parts] = 257
-    c = codes.reshape(-1, 8)
-    out = np.empty((len(c), 9), dtype=np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):  # byte k: the last k bits of code k - 1 and the first 8 - k of code k
-        out[:, k] = (c[:, k - 1] >> (9 - k)) | ((c[:, k] << k) & 255)
-    out[:, 8] = c[:, 7] >> 1
-    return out.ravel()[: -(-used * 9 // 8)]
+def _widths(minimum: int) -> np.ndarray:
+    """Bits of the first, second, ... code after a clear code while the table grows."""
+    first = (1 << minimum) + 2
+    k = np.arange(1, 4096 - first + 4)
+    out = np.full(len(k), minimum + 1)
+    for w in range(minimum + 1, 12):
+        out[k > (1 << w) - first + 1] = w + 1
+    return out
+
+
+_WIDTHS = {m: _widths(m) for m in range(2, 9)}
+
+
+def lzw_encode(data: bytes, minimum: int = 8) -> np.ndarray:
+    """LZW stream of bytes below 2 ** minimum: the longest known string each time; a
+    clear code once the table is full."""
+    clear, first = 1 << minimum, (1 << minimum) + 2
+    codes: list[int] = []
+    starts = [0]  # of the runs, each of which ends in a clear code or the end code
+    if data:
+        put, table, free = codes.append, {}, first
+        get = table.get
+        prefix = data[0]
+        for b in data[1:]:
+            key = prefix << 8 | b
+            if (known := get(key)) is not None:
+                prefix = known
+                continue
+            put(prefix)
+            prefix = b
+            if free < 4096:
+                table[key] = free
+                free += 1
+            else:
+                put(clear)
+                starts.append(len(codes))
+                table.clear()
+                free = first
+        put(prefix)
+    codes.append(clear + 1)
+    width = _WIDTHS[minimum]
+    runs = np.diff([*starts, len(codes)])
+    bits = np.concatenate([[minimum + 1], *(width[:n] for n in runs.tolist())])
+    grid = np.array([clear, *codes], dtype=np.uint16)[:, None] >> np.arange(12, dtype=np.uint16)[None, :]
+    kept = (grid & 1).astype(bool)[np.arange(12)[None, :] < bits[:, None]]
+    return np.packbits(kept, bitorder="little")
 
 
 def _codes(bits: np.ndarray, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
@@ -89,25 +124,14 @@ def _codes(bits: np.ndarray, at: np.ndarray, width: np.ndarray | int) -> np.ndar
     return (word >> (at & 7).astype(np.uint32)) & ((np.uint32(1) << np.asarray(width, dtype=np.uint32)) - np.uint32(1))
 
 
-def _nine_bits(bits: np.ndarray, n: int) -> np.ndarray:
-    groups = -(-n // 8)
-    padded = np.zeros(groups * 9, dtype=np.uint16)
-    padded[: min(len(bits), groups * 9)] = bits[: groups * 9]
-    b = padded.reshape(-1, 9)
-    out = np.empty((groups, 8), dtype=np.uint16)
-    for k in range(8):
-        out[:, k] = ((b[:, k] >> k) | (b[:, k + 1] << (8 - k))) & 511
-    return out.ravel()[:n]
-
-
-def _expand(codes: np.ndarray, starts: np.ndarray, clear: int) -> np.ndarray:
-    """Bytes of codes without clear codes; ``starts``: index of each code's first code since the clear."""
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """Bytes of the codes between two clear codes."""
     if not len(codes) or codes.max() < clear:
         return codes.astype(np.uint8)
     codes = codes.astype(np.int64)
     here = np.arange(len(codes))
     literal = codes < clear
-    parent = np.where(literal, here, starts + codes - clear - 2)
+    parent = np.where(literal, here, codes - clear - 2)
     if (parent > here).any() or (~literal & (parent >= here)).any():
         raise ValueError("LZW code before its entry")
     length = _depths(parent, literal) + 1
@@ -139,49 +163,32 @@ def _depths(parent: np.ndarray, literal: np.ndarray) -> np.ndarray:
 
 def lzw_decode(data: np.ndarray, minimum: int) -> np.ndarray:
     """Bytes of any GIF LZW stream."""
-    clear, first = 1 << minimum, (1 << minimum) + 2
+    clear = 1 << minimum
     bits = np.concatenate([data, np.zeros(4, dtype=np.uint8)])
-    n_bits, w0 = len(data) * 8, minimum + 1
-    narrow = (1 << w0) - first + 1  # codes since a clear code that have w0 bits, the next clear code included
-    n = n_bits // w0
-    codes = _nine_bits(data, n) if w0 == 9 else _codes(bits, np.arange(n, dtype=np.int64) * w0, w0)
-    ends = np.flatnonzero(codes == clear + 1)
-    if len(ends):  # right as far as no run of codes is too long for w0 bits
-        stop = int(ends[0])
-        clears = np.flatnonzero(codes[:stop] == clear)
-        marks = np.concatenate([[-1], clears, [stop]])
-        if np.diff(marks).max() <= narrow:
-            keep = np.ones(stop, dtype=bool)
-            keep[clears] = False
-            kept = codes[:stop][keep]
-            if not len(kept) or kept.max() < clear:
-                return kept.astype(np.uint8)
-            runs = np.diff(marks) - 1
-            starts = np.repeat(np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
-            return _expand(kept, starts, clear)
+    n_bits, growing = len(data) * 8, _WIDTHS[minimum]
     parts, at = [], 0
-    while at + w0 <= n_bits:  # one run between clear codes at a time
-        limit = 1 << 16
+    while at + minimum + 1 <= n_bits:  # one run between clear codes at a time
+        if (int(bits[at >> 3]) | int(bits[(at >> 3) + 1]) << 8) >> (at & 7) & ((2 << minimum) - 1) == clear:
+            at += minimum + 1
+            continue
+        limit = len(growing)
         while True:
-            k = np.arange(1, max(1, min(limit, (n_bits - at) // w0)) + 1)
-            width = np.full(len(k), w0)
-            for w in range(w0, 12):
-                width[k > (1 << w) - first + 1] = w + 1
-            begin = at + np.concatenate([[0], np.cumsum(width)])[:-1]
-            fits = begin + width <= n_bits
-            begin, width = begin[fits], width[fits]
-            run = _codes(bits, begin, width)
-            ends = np.flatnonzero((run == clear) | (run == clear + 1))
-            if len(ends) or len(run) < limit:
+            most = min(limit, (n_bits - at) // (minimum + 1))
+            # A full table stays as it is, and codes go on at 12 bits until a clear code comes.
+            width = growing[:most] if most <= len(growing) else np.concatenate([growing, np.full(most - len(growing), 12)])
+            ends = np.cumsum(width)
+            fits = int(np.searchsorted(ends, n_bits - at, "right"))
+            run = _codes(bits, at + ends[:fits] - width[:fits], width[:fits])
+            marks = np.flatnonzero((run == clear) | (run == clear + 1))
+            if len(marks) or fits < limit:
                 break
-            limit *= 4  # the clear code is deferred: codes go on with the same table
-        m = int(ends[0]) if len(ends) else len(run)
+            limit *= 4
+        m = int(marks[0]) if len(marks) else len(run)
         if m:
-            # A full table adds no entries, so later codes may only use the first 4096.
-            parts.append(_expand(run[:m], np.zeros(m, dtype=np.int64), clear))
-        if not len(ends) or run[m] == clear + 1:
+            parts.append(_expand(run[:m], clear))
+        if not len(marks) or run[m] == clear + 1:
             break
-        at = int(begin[m] + width[m])
+        at += int(ends[m])
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
 
 
@@ -199,16 +206,21 @@ def _blocks(stream: np.ndarray) -> bytes:
 
 def encode_gif(payload: bytes | np.ndarray, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
     """A GIF whose frames' palette indices are ``payload``, row by row."""
-    data = np.frombuffer(payload, dtype=np.uint8) if isinstance(payload, bytes) else payload
-    if len(data) == 0 or len(data) % width:
+    data = payload if isinstance(payload, bytes) else payload.tobytes()
+    if not data or len(data) % width:
         raise ValueError("the payload must fill rows")
     rows = len(data) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), _GREYS]
-    for r in range(0, rows, frame_rows):
-        part = data[r * width : (r + frame_rows) * width]
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0))
+    height = -(-rows // -(-rows // frame_rows))  # frames of equal height, as few as hold the rows
+    size = height * width
+    clear = FREE not in data
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, FREE if clear else 0, 0), PALETTE.tobytes()]
+    for at in range(0, len(data), size):
+        part = data[at : at + size]
+        if clear:
+            part = part.ljust(size, bytes([FREE]))
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 2 << 2 | clear, delay_cs, FREE if clear else 0, 0))
         out.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, width, len(part) // width, 0, 8))
-        out.append(_blocks(lzw_literals(part)))
+        out.append(_blocks(lzw_encode(part)))
     out.append(b";")
     return b"".join(out)
 
@@ -278,35 +290,39 @@ def _decode(data: bytes) -> Gif:
 
 def canvases(gif: Gif) -> Iterator[np.ndarray]:
     """The RGBA canvas that each frame shows."""
-    canvas = np.zeros((gif.height, gif.width, 4), dtype=np.uint8)
+    canvas = np.zeros((gif.height, gif.width), dtype="<u4")  # a pixel's four bytes as one number
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
         h, w = f.indices.shape
         area = canvas[f.top : f.top + h, f.left : f.left + w]
         grid = f.indices[: area.shape[0], : area.shape[1]]
-        shown = np.full(grid.shape, True) if f.transparent is None else grid != f.transparent
-        area[shown, :3] = f.palette[np.minimum(grid, len(f.palette) - 1)][shown]
-        area[shown, 3] = 255
-        yield canvas.copy()
+        colours = np.full((256, 4), 255, dtype=np.uint8)
+        colours[:, :3] = f.palette[np.minimum(np.arange(256), len(f.palette) - 1)]
+        np.copyto(area, colours.view("<u4")[:, 0][grid], where=True if f.transparent is None else grid != f.transparent)
+        yield canvas.copy().view(np.uint8).reshape(*canvas.shape, 4)
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
             canvas = before
 
 
-def histogram(rgb: np.ndarray, bits: int = 2) -> np.ndarray:
-    """Counts of colours by the top ``bits`` bits of red, green and blue."""
-    c = (rgb[..., :3] >> (8 - bits)).astype(np.int64)
-    flat = (c[..., 0] << (2 * bits)) | (c[..., 1] << bits) | c[..., 2]
-    return np.bincount(flat.ravel(), minlength=1 << (3 * bits))
+def _shown(canvas: np.ndarray) -> np.ndarray:
+    """The pixels of an RGBA canvas that aren't transparent, each as one number."""
+    pixels = np.ascontiguousarray(canvas).view("<u4").ravel()
+    return pixels[pixels >= 1 << 24]
+
+
+def histogram(canvas: np.ndarray, bits: int = 2) -> np.ndarray:
+    """Counts of the colours that show, by the top ``bits`` bits of red, green and blue."""
+    v, least = _shown(canvas), (1 << bits) - 1
+    slot = (((v >> (8 - bits)) & least) << 2 * bits) | (((v >> (16 - bits)) & least) << bits) | ((v >> (24 - bits)) & least)
+    return np.bincount(slot, minlength=1 << (3 * bits))
 
 
-def frame_histogram(f: Frame, bits: int = 2) -> np.ndarray:
-    """The same of a frame's own pixels, counted by index first."""
-    counts = np.bincount(f.indices.ravel(), minlength=len(f.palette))[: len(f.palette)]
-    c = (f.palette >> (8 - bits)).astype(np.int64)
-    slot = (c[:, 0] << (2 * bits)) | (c[:, 1] << bits) | c[:, 2]
-    return np.bincount(slot, weights=counts, minlength=1 << (3 * bits)).astype(np.int64)
+def shown_bytes(canvas: np.ndarray) -> bytes:
+    """The bytes whose colours of ``PALETTE`` a canvas shows, row by row."""
+    v = _shown(canvas)
+    return ((v & 0xE0) | ((v >> 11) & 0x1C) | ((v >> 22) & 3)).astype(np.uint8).tobytes()
 
 
 def pad(text: bytes | np.ndarray) -> np.ndarray:
@@ -316,6 +332,14 @@ def pad(text: bytes | np.ndarray) -> np.ndarray:
     return out
 
 
+def timed_frames(media: bytes) -> Iterator[tuple[int, int, Frame, np.ndarray]]:
+    """(number, start in ms, frame, canvas shown) of a file's frames."""
+    gif, start = decode_gif(media), 0
+    for k, (f, canvas) in enumerate(zip(gif.frames, canvases(gif), strict=True)):
+        yield k, start, f, canvas
+        start += 10 * f.delay_cs
+
+
 # --- operators ----------------------------------------------------------------
 
 
@@ -335,48 +359,72 @@ def read_frames(media: DataFrame, id_col: str = "doc_id", col: str = "media") ->
     """One row per frame: id, frame, start_ms, delay_ms, left, top, width, height,
     disposal, histogram (64 bins, of the canvas shown), pixels (palette indices)."""
     schema = f"{id_col} long, frame int, start_ms long, delay_ms int, left int, top int, width int, height int, disposal int, histogram array<long>, pixels binary"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.int64()), pa.binary()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            rows = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data is None:
+            for key, data in zip(batch.column(0), batch.column(1), strict=True):
+                if not data.is_valid:
                     continue
-                gif, start = decode_gif(data), 0
-                for k, (f, canvas) in enumerate(zip(gif.frames, canvases(gif), strict=True)):
+                for k, start, f, canvas in timed_frames(data.as_py()):
                     h, w = f.indices.shape
-                    rows.append((key, k, start, 10 * f.delay_cs, f.left, f.top, w, h, f.disposal, histogram(canvas).tolist(), f.indices.tobytes()))
-                    start += 10 * f.delay_cs
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(11)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                    rows.append((key.as_py(), k, start, 10 * f.delay_cs, f.left, f.top, w, h, f.disposal, histogram(canvas).tolist(), f.indices.tobytes()))
+                    held += w * h
+                    if held > FLUSH:
+                        yield packed(rows)
+                        rows, held = [], 0
+        yield packed(rows)
 
     return media.select(id_col, col).mapInArrow(run, schema)
 
 
-def digests(text: np.ndarray) -> tuple[int, int, str, int, int, str, str]:
-    """What the query returns for one text, from the stored bytes read back."""
-    media = encode_gif(pad(text))
-    gif = decode_gif(media)
-    payload = np.concatenate([f.palette[:, 0][f.indices].ravel() for f in gif.frames])
-    bins = sum(frame_histogram(f) for f in gif.frames)
+def digest(n_bytes: int, media: bytes) -> tuple[int, int, str, int, int, str, str]:
+    """What the query returns for one file, all but ``n_bytes`` from its stored frames."""
+    sha, size, tail, bins, frames, ms = hashlib.sha256(), 0, b"", np.zeros(64, dtype=np.int64), 0, 0
+    for _, start, f, canvas in timed_frames(media):
+        raw = shown_bytes(canvas)
+        sha.update(raw)
+        size += len(raw)
+        tail = (tail + raw)[-64:]
+        bins += histogram(canvas)
+        frames, ms = frames + 1, start + 10 * f.delay_cs
     shown = ",".join(f"{k}:{n}" for k, n in enumerate(bins.tolist()) if n)
-    feature = f"frames={len(gif.frames)};ms={sum(10 * f.delay_cs for f in gif.frames)};hist={shown}"
-    raw = payload.tobytes()
-    return len(text), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"frames={frames};ms={ms};hist={shown}"
 
 
 NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_digests(media: DataFrame) -> DataFrame:
+    """doc_id and ``NAMES`` of rows (doc_id, n_bytes, media)."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, at in text_runs(batch.column(1)):
-                cols = zip(*(digests(data[at[k] : at[k + 1]]) for k in range(j - i)), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", *NAMES])
+            rows = [digest(n.as_py(), m.as_py()) for n, m in zip(batch.column(1), batch.column(2), strict=True)]
+            cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", *NAMES])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(encode_texts(table(spark, sf_dir, "documents")))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the query that SQL can express: lengths, and the payload's hash."""
+    return query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+ORACLE_PAYLOADS = """
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, t, n, 64 * greatest(1, (n + 63) // 64) AS size FROM b)
+SELECT doc_id, n::BIGINT AS n_bytes, size::BIGINT AS payload_bytes, sha256(t || repeat(chr(0), (size - n)::BIGINT)) AS payload_sha256 FROM p
+"""

@@ -35,9 +35,12 @@ QUERIES: dict[str, Query] = {
         "op8_quality": quality.query,
         "op9_token_files": token_files.query,
         "op10_toxicity": toxicity.query,
+        "media_payloads": media_gif.payloads,
     }.items()
 }
 ORACLE: dict[str, str] = {
     "op1_embedding_neardup": embed_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
     "op7_minhash": minhash.ORACLE,
+    "media_payloads": media_gif.ORACLE_PAYLOADS,
 }

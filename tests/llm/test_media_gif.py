@@ -79,10 +79,74 @@ def test_payload_round_trip(size):
     assert len(padded) % 64 == 0 and len(padded) >= max(64, size) and len(padded) - size <= 64
     gif = g.decode_gif(g.encode_gif(padded))
     assert np.concatenate([f.indices.ravel() for f in gif.frames]).tobytes() == padded.tobytes()
-    n, p, sha, crc, m, msha, feature = g.digests(data)
+    media = g.encode_gif(padded)
+    n, p, sha, crc, m, msha, feature = g.digest(size, media)
     raw = data.tobytes() + b"\0" * (p - size)
     assert (n, sha, crc) == (size, hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
-    assert m == len(g.encode_gif(padded)) and f"frames={len(gif.frames)}" in feature
+    assert m == len(media) and msha == hashlib.sha256(media).hexdigest() and f"frames={len(gif.frames)}" in feature
+
+
+@pytest.mark.parametrize("minimum", [2, 4, 8])
+@pytest.mark.parametrize("size", [0, 1, 2, 300, 5000, 60000])
+def test_lzw_encodes_as_a_textbook_encoder(minimum, size):
+    for high in (2, 1 << minimum):
+        data = np.random.default_rng(size).integers(0, high, size).astype(np.uint8)
+        stream = g.lzw_encode(data.tobytes(), minimum)
+        assert (g.lzw_decode(stream, minimum) == data).all()
+        if size:
+            assert (stream == lzw_plain(data, minimum)).all()
+
+
+def test_prose_gets_smaller_and_shows_composed_frames():
+    text = ("the quick brown fox jumps over the lazy dog and then some more words follow it " * 400).encode()
+    padded = g.pad(text)
+    media = g.encode_gif(padded)
+    assert len(media) < len(padded) / 2
+    frames = list(g.timed_frames(media))
+    assert [k for k, *_ in frames] == list(range(len(frames))) and len(frames) > 5
+    assert [start for _, start, *_ in frames] == [10 * g.DELAY_CS * k for k in range(len(frames))]
+    assert all(f.disposal == 2 and f.transparent == 255 for *_, f, _ in frames)
+    assert b"".join(g.shown_bytes(c) for *_, c in frames) == padded.tobytes()
+    assert len({c.shape for *_, c in frames}) == 1 and (frames[-1][3][..., 3] == 0).any()
+    sums = sum(g.histogram(c) for *_, c in frames)
+    want = np.bincount(((padded >> 6).astype(int) << 4) | ((padded >> 3).astype(int) & 3) << 2 | (padded.astype(int) & 3), minlength=64)
+    assert (sums == want).all()
+
+
+ROWS = [None, "", "a", "é中" * 40, "x" * 64, "prose and " * 30_000, "a", "a"]
+
+
+def test_query_on_edge_rows(spark, tmp_path):
+    rows = [(i, t, "m", -1, "f") for i, t in enumerate(ROWS)] + [(None, "no id", "m", -1, "f"), (3, "é中" * 40, "m", -1, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, media string, n_bytes int, feature string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = g.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 3 for r in got) == 2
+    for r in got:
+        raw = ("no id" if r.doc_id is None else ROWS[r.doc_id] or "").encode()
+        padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = g.encode_gif(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    same = {tuple(r)[1:] for r in got if r.doc_id in (2, 6, 7)}
+    assert len(same) == 1
+    df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert g.query(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stored_frames(spark):
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(ROWS)], "doc_id long, text string, pixels string")
+    media = g.encode_texts(docs)
+    assert {r.doc_id: r.n_bytes for r in media.collect()} == {i: len((t or "").encode()) for i, t in enumerate(ROWS)}
+    frames = g.read_frames(media.unionByName(spark.createDataFrame([(99, 0, None)], media.schema))).collect()
+    assert 99 not in {r.doc_id for r in frames}
+    for i, t in enumerate(ROWS):
+        mine = sorted((r for r in frames if r.doc_id == i), key=lambda r: r.frame)
+        assert [r.frame for r in mine] == list(range(len(mine))) and [r.start_ms for r in mine] == [100 * k for k in range(len(mine))]
+        assert sum(sum(r.histogram) for r in mine) == len(g.pad((t or "").encode()))
+        assert b"".join(bytes(r.pixels) for r in mine).rstrip(b"\xff") == g.pad((t or "").encode()).tobytes()
+        assert all(len(r.histogram) == 64 and r.disposal == 2 and (r.left, r.top, r.width) == (0, 0, 64) for r in mine)
+    assert g.read_frames(media.limit(0)).count() == 0
 
 
 def build(frames, palette, width, height):

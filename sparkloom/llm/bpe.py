@@ -71,12 +71,29 @@ def byte_characters() -> dict[str, int]:
     return chars
 
 
+# The settings of the files that this module encodes as the library does.
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_settings(spec: dict) -> None:
+    """Fails on a tokenizer file whose settings mean other tokens than those made here."""
+    cutter = spec.get("pre_tokenizer") or {}
+    wrong = [k for k, v in _PRE_TOKENIZER.items() if cutter.get(k) != v]
+    wrong += [k for k, v in _MODEL.items() if (spec["model"].get(k) or None) != (v or None)]
+    wrong += ["normalizer"] if spec.get("normalizer") is not None else []
+    wrong += [t["content"] for t in spec.get("added_tokens", []) if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if wrong:
+        raise ValueError(f"no byte-level BPE file of the known kind: {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         chars, vocab = byte_characters(), spec["model"]["vocab"]
         self.special = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()]) + 1

@@ -18,7 +18,8 @@ space and never joins across it, which makes that exact. Unseen words go to the
 library many to a text; where each is letters, or letters before punctuation,
 the vocabulary's word-end marks tell them apart again, and a text whose marks
 don't add up is encoded word by word. Lower-case Latin words take the library's
-model without the normalising steps, which leave them as they are.
+model without the normalising steps, which leave them as they are. All that holds
+for the settings in ``words_apart``; the library encodes whole texts for any other file.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first;
 equal ids are ordered by text; repeated rows are separate; an empty table gives
@@ -40,11 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .common import shared_path, table, text_runs
 
 END_ID = 2
 #: Distinct words of each of a worker's two cache generations.
-CACHE = 350_000
+CACHE = 420_000
 #: Unseen words that are encoded as one text.
 TOGETHER = 512
 #: Lower-case Latin letters that no normalisation changes.
@@ -67,24 +69,38 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
+# The settings under which words between white space are encoded one by
+# one as they are in a text. A file with other settings has whole texts encoded instead.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def words_apart(spec: dict) -> bool:
+    """Whether a tokenizer file has the settings above, and no added token that white space or letters could be part of."""
+    plain = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    model = all(spec["model"].get(k, v) == v for k, v in _MODEL.items()) and spec["model"].get("type") == "BPE"
+    added = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    return plain and model and added
+
+
 class _Words(dict):
-    """Number of each word in ``ids``; a word that isn't there gets one, taken from
-    the generation before if that has it, else noted as pending."""
+    """Ids of each word. A word that isn't there takes them from the generation before,
+    or gets an empty placeholder, to be filled in place, and is noted as pending."""
 
     def __init__(self, before: _Words | None = None):
         super().__init__()
-        self.ids: list[bytes] = []
         self.before = before
         self.pending: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self.ids)
-        if self.before is not None and word in self.before:
-            self.ids.append(self.before.ids[self.before[word]])
-        else:
-            self.ids.append(b"")
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        ids = self.before.get(word) if self.before is not None else None
+        if ids is None:
+            ids = bytearray()
             self.pending.append(word)
-        return k
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -97,12 +113,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        # The same model without the steps that leave lower-case words alone.
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        front = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": front}, "truncation": None, "padding": None}
-        self.plain = Tokenizer.from_str(json.dumps(spec))
+        self.apart = words_apart(spec)
+        if not self.apart:
+            return
+        # The same model without the steps that leave lower-case words alone: it takes
+        # words in the characters by which the vocabulary writes their bytes.
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "truncation": None, "padding": None}))
+        self.written = {b: c for c, b in byte_characters().items() if c != chr(b) and b != 32}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -111,17 +130,18 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.apart:
+            return self._each(texts)
         if len(self.words) > self.limit:
             self.words.before = None
             self.words = _Words(self.words)
         gc.disable()  # nothing here has cycles, and the many new objects would set the collector off
         try:
-            number = self.words.__getitem__
-            numbers = [list(map(number, t.split())) for t in texts]
+            ids = self.words.__getitem__
+            found = [list(map(ids, t.split())) for t in texts]
             if self.words.pending:
                 self._resolve()
-            get = self.words.ids.__getitem__
-            return [b"".join(map(get, n)) for n in numbers]
+            return list(map(b"".join, found))
         finally:
             gc.enable()
 
@@ -129,8 +149,7 @@ class WordEncoder:
         """Letters, in lower case as the tokenizer takes them, and what follows them are looked up apart."""
         words = self.words
         pending, words.pending = words.pending, []
-        ids, known = words.ids, words.get
-        before, older = (words.before.ids, words.before.get) if words.before is not None else ([], {}.get)
+        known, older = words.get, words.before.get if words.before is not None else {}.get
         found: dict[bytes, bytes] = {b"": b""}
         plain, other, tails = {}, {}, {}
         pairs = []
@@ -141,10 +160,8 @@ class WordEncoder:
                 head = head.lower()
                 if head not in found:
                     # Most unseen words are seen ones with other punctuation or capitals.
-                    if (k := known(head)) is not None and ids[k]:
-                        found[head] = ids[k]
-                    elif (k := older(head)) is not None:
-                        found[head] = before[k]
+                    if ids := known(head) or older(head):  # a placeholder is empty
+                        found[head] = ids
                     else:
                         plain[head] = None
             elif head and (text := head.decode("utf-8", "replace")).isalpha():
@@ -157,25 +174,28 @@ class WordEncoder:
             if tail:
                 tails[tail] = None
             pairs.append((w, head, tail))
-        found.update(self._letters(list(plain), self.plain))
+        found.update(self._letters(list(plain), self.plain, self.written))
         found.update(self._letters(list(other), self.tokenizer))
         found.update(zip(tails, self._each(list(tails)), strict=True))
+        for w, h, t in pairs:
+            ids = found[h] + found[t]
+            words[w][:] = ids  # the texts at hand hold the placeholder
+            words[w] = ids
         for h in plain:
             if known(h) is None:
-                words[h] = len(ids)
-                ids.append(found[h])
-        for w, h, t in pairs:
-            ids[words[w]] = found[h] + found[t]
+                words[h] = found[h]
 
     def _each(self, words: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def _letters(self, words: list[bytes], tokenizer) -> dict[bytes, bytes]:
-        """Ids of words of letters alone, ``TOGETHER`` to a text."""
+    def _letters(self, words: list[bytes], tokenizer, written: dict[int, str] | None = None) -> dict[bytes, bytes]:
+        """Ids of words of letters alone, ``TOGETHER`` to a text; with ``written``, in the
+        characters that stand for bytes."""
         out: dict[bytes, bytes] = {}
         groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        texts = [b" ".join(g).decode("utf-8", "replace") for g in groups]
+        texts = [b" ".join(g) for g in groups]
+        texts = [t.decode("utf-8", "replace") if written is None or t.isascii() else t.decode("latin-1").translate(written) for t in texts]
         for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()

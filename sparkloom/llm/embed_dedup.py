@@ -4,21 +4,28 @@ Steps:
 
 1. Vectors with equal bytes collapse to their smallest id with a count.
 2. Spherical k-means is fitted on a bounded sample (``SAMPLE`` rows in hash
-   order, ``SAMPLE_BYTES`` at most); every vector is assigned to its best cell.
-3. A vector also visits each higher cell that could hold a partner: a partner
-   within cosine t lies within the chord sqrt(2 - 2 t), so a vector farther than
-   that from the plane between its own centre and another's has none there. No
-   link is lost; the cost is the number of visits, few for clustered vectors,
-   many for vectors without structure (see README).
+   order, ``SAMPLE_BYTES`` at most); every vector is assigned to its best cell. How
+   many cells, at least ``LEAST_CELLS``, is decided by what cells save on the sample:
+   the products of vectors that needn't be compared against the copies of vectors
+   that must be. Clustered vectors get many cells, vectors without structure few.
+3. A vector also visits each higher cell that could hold a partner. Two bounds,
+   both without loss: a partner within cosine t lies within the chord sqrt(2 - 2 t),
+   so a vector farther than that from the plane between its own centre and another's
+   has none there; and a partner within the angle arccos(t) of it can't be in a cell
+   whose widest member is nearer to its centre than the vector by more than that.
 4. Residents and visitors of a cell are cut into blocks of ``BLOCK`` vectors by
    hash; each pair of blocks is one task's matrix product in double precision.
    A task returns, per vector, its number of links and a root, never pairs.
 5. Links are summed, roots joined into components.
 
+No link is lost; the cost is the number of visits, few for clustered vectors, many
+for vectors without structure, of which no exact method compares much less than all.
+
 Defined cases: null or zero vectors and vectors with null or non-finite
 components have no links and are kept; vectors of different lengths have no
 cosine and don't link; a null id is kept with null component; repeated vectors
-link with each other; other columns, labels included, aren't read.
+link with each other; rows of one id with different vectors count their own links
+and are one node of the components; other columns, labels included, aren't read.
 """
 
 from __future__ import annotations
@@ -34,7 +41,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, table
 
 SAMPLE, SAMPLE_BYTES = 40_000, 48 << 20
-CELL, MAX_CELLS, ROUNDS, BLOCK = 8192, 2048, 12, 8192
+LEAST_CELLS, ROUNDS, BLOCK = 4, 12, 8192
+#: Sampled vectors by which numbers of cells are compared, and the cost of a copied
+#: vector in products of two vectors.
+TRIED, COPY_COST = 4000, 5000
 #: Rows of a block's matrix product made at once.
 STRIP = 512
 
@@ -92,31 +102,79 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -
     return np.unique(centres, axis=0)
 
 
-def _assign(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
-    """Adds cell and visits (higher cells that may hold partners). Cell -1: vectors
-    of another length than the centres; they meet in one cell, cut into blocks."""
+def _near_cells(s: np.ndarray, own: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Which higher cells may hold partners by the planes between centres; s: vectors x centres."""
+    near = s[np.arange(len(s)), own][:, None] - s <= gaps[own] + 1e-9
+    return near & (np.arange(s.shape[1])[None, :] > own[:, None])
+
+
+def _gaps(centres: np.ndarray, threshold: float) -> np.ndarray:
     chord = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    dim = centres.shape[1]
-    gaps = chord * np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    return chord * np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+
+
+def _reach(least: np.ndarray | float, threshold: float):
+    """The cosine to a centre below which a vector has no partner in a cell whose
+    members have cosines of ``least`` or more."""
+    angle = np.arccos(np.clip(least, -1, 1)) + math.acos(max(-1.0, min(1.0, threshold)))
+    return np.cos(np.minimum(angle, np.pi)) - 1e-9
+
+
+def choose_cells(sample: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Centres of as many cells as make the comparison of n vectors cheapest, judged
+    by the sample: from ``LEAST_CELLS`` on, four times as many each time while it helps."""
+    rng = np.random.default_rng(5)
+    x = _unit(sample)
+    tried = x[rng.choice(len(x), size=min(TRIED, len(x)), replace=False)]
+    best, cost, k = None, math.inf, LEAST_CELLS
+    while True:
+        centres = fit_cells(tried, k, rounds=6)
+        s = tried @ centres.T
+        own = np.argmax(s, axis=1)
+        size = np.bincount(own, minlength=len(centres)) / len(tried)
+        least = np.ones(len(centres))
+        np.minimum.at(least, own, s[np.arange(len(s)), own])
+        near = _near_cells(s, own, _gaps(centres, threshold)) & (s >= _reach(least, threshold)[None, :])
+        compared = (size * size).sum() / 2 + (near @ size).mean()
+        now = n * n * compared + n * (1 + near.sum(axis=1).mean()) * COPY_COST
+        if now >= cost:
+            break
+        best, cost = k, now
+        if k * 8 > len(tried):
+            break
+        k *= 4
+    return fit_cells(sample, best)
+
+
+def _assign(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
+    """Adds cell, its cosine and visits (higher cells that may hold partners, with their
+    cosines). Cell -1: vectors of another length than the centres; they meet in one
+    cell, cut into blocks."""
+    dim, gaps = centres.shape[1], _gaps(centres, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            cell, visits = np.full(len(raw), -1, dtype=np.int32), [[] for _ in raw]
+            raw = batch.column(2).to_pylist()
+            n = len(raw)
+            cell, cosine, counts = np.full(n, -1, dtype=np.int32), np.zeros(n), np.zeros(n, dtype=np.int64)
             at = np.array([i for i, b in enumerate(raw) if len(b) == 8 * dim], dtype=np.int64)
+            cells, cosines = [], []
             for part in np.array_split(at, max(1, len(at) // 1024)):
                 if not len(part):
                     continue
                 s = _unit(np.frombuffer(b"".join(raw[i] for i in part), np.float64).reshape(len(part), dim)) @ centres.T
                 own = np.argmax(s, axis=1)
-                cell[part] = own
-                near = s[np.arange(len(part)), own][:, None] - s <= gaps[own] + 1e-9
-                near &= np.arange(s.shape[1])[None, :] > own[:, None]
-                for i, row in zip(part.tolist(), near, strict=True):
-                    visits[i] = np.flatnonzero(row).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(visits, pa.list_(pa.int32()))], names=["rep", "v", "w", "cell", "visits"])
+                cell[part], cosine[part] = own, s[np.arange(len(part)), own]
+                near = _near_cells(s, own, gaps)
+                counts[part] = near.sum(axis=1)
+                cells.append(np.nonzero(near)[1])
+                cosines.append(s[near])
+            flat = [np.concatenate(x) if x else np.zeros(0) for x in (cells, cosines)]
+            visits = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.float64))], names=["cell", "cosine"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), visits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(cosine), lists], names=["digest", "rep", "v", "w", "cell", "cosine", "visits"])
 
-    return classes.select("rep", "v", "w").mapInArrow(run, "rep long, v binary, w long, cell int, visits array<int>")
+    return classes.select("digest", "rep", "v", "w").mapInArrow(run, "digest binary, rep long, v binary, w long, cell int, cosine double, visits array<struct<cell:int,cosine:double>>")
 
 
 def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -152,7 +210,7 @@ def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         kind, i, j = (group.column(c)[0].as_py() for c in ("kind", "i", "j"))
         ids, w, block, role = (group.column(c).to_numpy() for c in ("rep", "w", "block", "role"))
-        raw = group.column("v").to_pylist()
+        raw, digest = group.column("v").to_pylist(), group.column("digest")
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         lengths = np.array([len(b) for b in raw])
         for n in np.unique(lengths):
@@ -174,17 +232,17 @@ def _compare(threshold: float):
             mask = mask[np.ix_(rows, cols)]
             left, right = left[rows], right[cols]
             a, b = _roots(mask, ids[left], ids[right])
-            out.append((ids[left], _weights(mask, w[right]), a))
+            out.append((left, _weights(mask, w[right]), a))
             if not alone:
-                out.append((ids[right], _weights(mask.T, w[left]), b))
-        rep, links, root = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
-        return pa.table({"rep": pa.array(rep, pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(root, pa.int64())})
+                out.append((right, _weights(mask.T, w[left]), b))
+        rows, links, root = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        return pa.table({"digest": digest.take(pa.array(rows)), "rep": pa.array(ids[rows], pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(root, pa.int64())})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", col: str = "embedding", cell_size: int = CELL, max_cells: int = MAX_CELLS, block: int = BLOCK) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", col: str = "embedding", cells: int | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. ``cells`` fixes the number of cells."""
     clean = cut(_clean(vectors, id_col, col))
     usable = clean.filter("v is not null and vec_id is not null")
     classes = cut(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v")))
@@ -192,17 +250,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = min(SAMPLE, SAMPLE_BYTES // max(8, widest or 8))
     picked = classes.filter(F.length("v") == (widest or 0)).orderBy(F.xxhash64("rep"), "rep").select("v").limit(rows).collect()
     if picked:
-        centres = fit_cells(np.frombuffer(b"".join(r.v for r in picked), np.float64).reshape(len(picked), -1), max(1, min(max_cells, math.ceil(n / cell_size))))
+        sample = np.frombuffer(b"".join(r.v for r in picked), np.float64).reshape(len(picked), -1)
+        centres = fit_cells(sample, cells) if cells else choose_cells(sample, n, threshold)
     else:
         centres = np.ones((1, 1))
     placed = cut(_assign(classes, centres, threshold))
 
-    residents = placed.select("rep", "v", "w", F.lit(0).alias("role"), "cell")
-    visitors = placed.select("rep", "v", "w", F.lit(1).alias("role"), F.explode("visits").alias("cell"))
-    # Bounded: one row for each of at most max_cells + 1 cells.
-    counts = placed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).cast("int").alias("nr"))
-    guests = placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).cast("int").alias("nv"))
-    blocks = F.broadcast(counts.join(guests, "cell", "left").na.fill(0, ["nv"]))
+    # Bounded: one row for each cell.
+    within = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
+    angle = F.acos(F.greatest(F.least("least", F.lit(1.0)), F.lit(-1.0))) + math.acos(max(-1.0, min(1.0, threshold)))
+    within = cut(within.select("cell", F.ceil(F.col("n") / block).cast("int").alias("nr"), (F.cos(F.least(angle, F.lit(math.pi))) - 1e-9).alias("reach")))
+    residents = placed.select("digest", "rep", "v", "w", F.lit(0).alias("role"), "cell")
+    visitors = placed.select("digest", "rep", "v", "w", F.lit(1).alias("role"), F.inline("visits"))
+    visitors = visitors.join(F.broadcast(within), "cell").filter("cosine >= reach").select("digest", "rep", "v", "w", "role", "cell")
+    guests = placed.select(F.inline("visits")).join(F.broadcast(within), "cell").filter("cosine >= reach").groupBy("cell").count()
+    guests = guests.select("cell", F.ceil(F.col("count") / block).cast("int").alias("nv"))
+    blocks = F.broadcast(within.select("cell", "nr").join(guests, "cell", "left").na.fill(0, ["nv"]))
     every = residents.unionByName(visitors).join(blocks, "cell")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("role") == 0, F.col("nr")).otherwise(F.col("nv")).cast("long")).cast("int")
     every = every.withColumn("block", own)
@@ -210,12 +273,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         F.col("role") == 0,
         F.expr("concat(transform(sequence(0, nr - 1), o -> struct(0 AS kind, least(block, o) AS i, greatest(block, o) AS j)), IF(nv > 0, transform(sequence(0, nv - 1), o -> struct(1 AS kind, block AS i, o AS j)), array()))"),
     ).otherwise(F.expr("transform(sequence(0, nr - 1), o -> struct(1 AS kind, o AS i, block AS j))"))
-    spread = every.withColumn("t", F.explode(tasks)).select("cell", "t.kind", "t.i", "t.j", "rep", "v", "w", "role", "block")
-    found = cut(spread.groupBy("cell", "kind", "i", "j").applyInArrow(_compare(threshold), "rep long, links long, root long"))
+    spread = every.withColumn("t", F.explode(tasks)).select("cell", "t.kind", "t.i", "t.j", "digest", "rep", "v", "w", "role", "block")
+    found = cut(spread.groupBy("cell", "kind", "i", "j").applyInArrow(_compare(threshold), "digest binary, rep long, links long, root long"))
 
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("digest", "rep", "w").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = classes.select("digest", "rep", "w").join(links, "digest", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select(F.col("digest").alias("_d"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("_n"), F.coalesce("root", "rep").alias("_c"))
     out = clean.select("vec_id", "digest").join(of_class, F.col("digest") == F.col("_d"), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_c", "vec_id"))

@@ -43,11 +43,11 @@ def brute(x, threshold=0.95):
     return n, components(len(x), links)
 
 
-@pytest.mark.parametrize("cell,block", [(16, 7), (40, 1000), (1000, 30)])
-def test_vectors_equal_brute_force(spark, cell, block):
+@pytest.mark.parametrize("cells,block", [(16, 7), (40, 1000), (None, 30)])
+def test_vectors_equal_brute_force(spark, cells, block):
     x = vectors().tolist()
     df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell string")
-    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df, cell_size=cell, block=block).collect()}
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df, cells=cells, block=block).collect()}
     n, root = brute(x)
     assert sum(n) > 500 and len(set(root)) > 20
     assert [got[i].n_links for i in range(len(x))] == n
@@ -66,6 +66,36 @@ def test_odd_vectors(spark):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(null_id).collect()} == {(None, 0, None, True), (1, 0, 1, True)}
 
 
+def test_one_id_on_two_vectors(spark):
+    x = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+
+
+def test_cells_follow_the_structure():
+    """Clustered vectors get many cells, which spare most products; others few."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(200, 32))
+    tight = middle[rng.integers(0, 200, 4000)] + rng.normal(size=(4000, 32)) * 0.05
+    many = embed_dedup.choose_cells(tight, 1_000_000, 0.95)
+    few = embed_dedup.choose_cells(rng.normal(size=(4000, 32)), 10_000, 0.95)
+    assert len(many) >= 64 and embed_dedup.LEAST_CELLS <= len(few) <= 16
+    x = embed_dedup._unit(tight)
+    s = x @ many.T
+    own = s.argmax(axis=1)
+    size = np.bincount(own, minlength=len(many))
+    least = np.ones(len(many))
+    np.minimum.at(least, own, s[np.arange(len(s)), own])
+    near = embed_dedup._near_cells(s, own, embed_dedup._gaps(many, 0.95)) & (s >= embed_dedup._reach(least, 0.95)[None, :])
+    compared = (size * size).sum() / 2 + (near @ size).sum()
+    assert compared < 0.2 * len(x) ** 2 / 2
+    links = x @ x.T >= 0.95  # no partner is outside of the cells that are compared
+    i, j = np.nonzero(np.triu(links, 1))
+    a, b = np.where(own[i] <= own[j], i, j), np.where(own[i] <= own[j], j, i)
+    assert ((own[a] == own[b]) | near[a, own[b]]).all()
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     rng = np.random.default_rng(0)
     order = rng.permutation(400).tolist()
@@ -76,6 +106,14 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub_in_parts(spark):
+    """A node with thousands of neighbours on both sides is joined in parts."""
+    hub = 5000
+    links = [(hub, i) for i in range(0, 10_000, 2) if i != hub] + [(10_001, 10_003)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(0, 10_000, 2)} | {10_001: 10_001, 10_003: 10_001}
+
+
 # --- texts ---
 
 

@@ -18,16 +18,17 @@ marks and digits of any length, joined by hyphens or apostrophes, but not parts
 of addresses. p counts all documents.
 
 A term is generalised (to its wider class: a name, word, number or code) where its
-share reaches ``GENERALISE`` and removed where it reaches ``REMOVE``: in the
-documents of the entities it discloses, and in all others too if it was seen with
-one of them in ``ELSEWHERE`` different contexts. Rare words of the common language
-would otherwise be masked in documents that hold no personal data at all.
+share reaches ``GENERALISE`` and removed where it reaches ``REMOVE``, in the
+documents of the entities it discloses. Elsewhere it stays: a document that doesn't
+hold the entity says nothing about it, and common words that a group of near copies
+shares with an address would be masked in all documents of the corpus.
+``elsewhere`` asks for that stricter rule.
 
 Defined cases: null text is empty and has no spans; kinds may overlap, spans of a
 kind don't; overlapping spans are masked as one; null ids are kept; repeated
 rows each get their spans; other columns are kept by ``sanitise``, whose result
 has the input's columns. Texts are never shuffled unless more than
-``BROADCAST_ROWS`` rows need their spans. A text with n matches costs n * sqrt(n)
+``BROADCAST_ROWS`` rows need their spans, and then only those that can have any. A text with n matches costs n * sqrt(n)
 small steps at most; no step copies what it has made so far for each match.
 """
 
@@ -41,8 +42,6 @@ from .common import cut, table
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
 GENERALISE, REMOVE, PRIOR = 0.8, 0.95, 1.0
-#: Different contexts with an entity from which a term is masked in documents without the entity, too.
-ELSEWHERE = 3
 BROADCAST_ROWS = 100_000
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -175,10 +174,11 @@ def _shares(total: int):
     return share
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = 1, elsewhere: int = ELSEWHERE) -> DataFrame | None:
+def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = 1, elsewhere: int | None = None) -> DataFrame | None:
     """(doc_id, h, term, kind): the terms to mask in each document; None where no term
     discloses an entity. Counts are over all documents; ``min_contexts`` is for
-    callers who want pairs of few contexts left out."""
+    callers who want pairs of few contexts left out, ``elsewhere`` for those who want
+    a term masked in documents without the entity, too, from so many contexts on."""
     seen = found.filter(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "spans", "terms")
     entities = F.array_distinct(F.transform("spans", lambda s: F.sha2(F.lower(F.concat_ws(":", s["kind"], s["value"])), 256)))
     holds = seen.select("row", F.explode(entities).alias("entity"))
@@ -206,8 +206,8 @@ def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENER
     if scored.isEmpty():
         return None
     masks = pairs.join(_few(scored), ["term", "entity"]).select("doc_id", "h", "term", "share")
-    wide = cut(scored.filter(F.col("contexts") >= elsewhere).groupBy("term").agg(F.max("share").alias("share")))
-    if not wide.isEmpty():
+    if elsewhere is not None:
+        wide = cut(scored.filter(F.col("contexts") >= elsewhere).groupBy("term").agg(F.max("share").alias("share")))
         uses = _texts(docs).select("doc_id", F.xxhash64("t").alias("h"), F.explode(_terms()).alias("term"))
         masks = masks.unionByName(uses.join(_few(wide), "term").select("doc_id", "h", "term", "share"))
     masks = masks.groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
@@ -219,18 +219,43 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def term_spans(docs: DataFrame, masks: DataFrame) -> DataFrame:
-    """(doc_id, h, more): places of each document's terms, as whole words, any case."""
-    masks = cut(masks)
-    kept = cut(masks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    rows = _texts(docs).withColumn("h", F.xxhash64("t")).join(_few(kept), same("doc_id", "_id") & same("h", "_h"), "left_semi")
+def _may_hold(t: Column) -> Column:
+    """Whether a text can have a span of a pattern; false for most texts without one."""
+    return F.contains(t, F.lit("@")) | t.rlike(_NEEDS["ip"]) | t.rlike("(?:[0-9][ -]?){16}") | t.rlike("[+][0-9]")
+
+
+def _listed(places: Column, terms: Column) -> Column:
+    """(kind, start, end) of the places whose word is one of ``terms`` (term, kind).
+    The terms are dealt into as many lists as the root of their number by a hash, so
+    that a word is looked for in one short list."""
+
+    def dealt(n: Column) -> Column:
+        slot = lambda x: F.pmod(F.xxhash64(x), n.cast("long")).cast("int")
+        lists = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(terms, lambda x: slot(x["term"]) == k))
+
+        def found(by: Column) -> Column:
+            def hit(p: Column) -> Column:
+                word = F.lower(p["value"])
+                return _let(F.filter(F.element_at(by, slot(word) + 1), lambda x: x["term"] == word), lambda f: F.when(F.size(f) > 0, F.struct(f[0]["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"))))
+
+            return F.filter(F.transform(places, hit), lambda x: x.isNotNull())
+
+        return _let(lists, found)
+
+    return _let(F.ceil(F.sqrt(F.size(terms))).cast("int"), dealt)
+
+
+def term_spans(docs: DataFrame, masks: DataFrame, everywhere: bool = False) -> DataFrame:
+    """(doc_id, h, more): places of each document's terms, as whole words, any case.
+    ``everywhere``: documents without a pattern's span may have terms, too."""
+    kept = masks.groupBy("doc_id", "h").agg(F.collect_list(F.struct("term", "kind")).alias("terms"))
+    kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms"))
+    texts = _texts(docs) if everywhere else _texts(docs).filter(_may_hold(F.col("t")))
+    rows = texts.withColumn("h", F.xxhash64("t")).join(_few(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h")))
     # One pass over the words of a text for all its terms; each word with its place.
-    words = rows.select("doc_id", "h", F.explode(_places(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0)), _TERM)).alias("w"))
-    words = words.select("doc_id", "h", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.value").alias("word"))
-    wanted = masks.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "term", "kind")
-    hits = words.join(_few(wanted), same("doc_id", "_id") & same("h", "_h") & (F.col("word") == F.col("term")))
-    return hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("more"))
+    words = _places(F.regexp_extract_all("t", F.lit(_TERM), F.lit(0)), _TERM)
+    more = _let(words, lambda w: _listed(w, F.col("terms")))
+    return rows.select("doc_id", "h", F.sort_array(more).alias("more")).dropDuplicates(["doc_id", "h"])
 
 
 def _free(base: Column, more: Column) -> Column:
@@ -251,14 +276,14 @@ def _free(base: Column, more: Column) -> Column:
     return _let(F.array_sort(tagged), sweep)
 
 
-def find(docs: DataFrame, **thresholds: float) -> DataFrame:
+def find(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, h, spans (kind, start, end): patterns' spans, then terms' spans."""
     found = cut(base_spans(docs))
     terms = revealing_terms(docs, found, **thresholds)
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     if terms is None:
         return found.select("doc_id", "h", base.alias("spans"), F.size("spans").alias("n_base"))
-    more = term_spans(docs, terms).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
+    more = term_spans(docs, terms, thresholds.get("elsewhere") is not None).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
     both = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     # A term inside a pattern's span is covered already.
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
@@ -309,12 +334,17 @@ def _masked(text: Column, spans: Column) -> Column:
     return _let(F.encode(text, "UTF-32"), cut_out)
 
 
-def sanitise(docs: DataFrame, **thresholds: float) -> DataFrame:
+def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """The documents with their spans masked; ``n_chars``, where there is one, follows the text."""
     found = find(docs, **thresholds).filter(F.size("spans") > 0)
     found = cut(found.select(F.col("doc_id").alias("__pii_id"), F.col("h").alias("__pii_h"), F.col("spans").alias("__pii_spans")).dropDuplicates(["__pii_id", "__pii_h"]))
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.join(_few(found), F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id")) & (h == F.col("__pii_h")), "left")
+    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id")) & (F.xxhash64(plain) == F.col("__pii_h"))
+    if found.count() <= BROADCAST_ROWS or thresholds.get("elsewhere") is not None:
+        both = docs.join(_few(found), same, "left")
+    else:  # only texts that can have spans are shuffled
+        rest = docs.filter(~_may_hold(plain)).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns})
+        both = docs.filter(_may_hold(plain)).join(found, same, "left").unionByName(rest)
     text = F.when(F.col("__pii_spans").isNotNull(), _masked(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:

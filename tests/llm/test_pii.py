@@ -82,18 +82,20 @@ def revealing():
 def test_revealing_terms_by_hand(spark):
     texts = revealing()
     df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
-    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df).collect()}
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df, elsewhere=3).collect()}
     for i in range(5):
         a = texts[i].index("Zanzibarite")
         assert got[i] == [*brute(texts[i]), ("generalise", a, a + 11)]
     assert got[len(texts) - 1] == [("generalise", 4, 15)]
     assert all(got[i] == brute(texts[i]) for i in range(5, len(texts) - 1))
-    clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    clean = {r.doc_id: r for r in pii.sanitise(df, elsewhere=3).collect()}
     assert clean[0].text == "river stone from [NAME] clerk mail [EMAIL] about river stone matters"
     assert clean[0].n_chars == len(clean[0].text) and clean[7].text == texts[7].replace("nobody@else2.example", "[EMAIL]")
     assert clean[len(texts) - 1].text == "the [NAME] again"
-    removed = {r.doc_id: r for r in pii.sanitise(df, remove=0.8).collect()}
+    removed = {r.doc_id: r for r in pii.sanitise(df, remove=0.8, elsewhere=3).collect()}
     assert removed[len(texts) - 1].text == "the  again"
+    own = {r.doc_id: r.text for r in pii.sanitise(df).collect()}  # without ``elsewhere``, where the address is
+    assert own[0] == clean[0].text and own[len(texts) - 1] == texts[-1]
     none = {r.doc_id: r for r in pii.sanitise(df, min_contexts=50).collect()}
     assert none[len(texts) - 1].text == texts[-1]
 
@@ -176,6 +178,48 @@ def test_terms_that_meet_spans_are_covered(spark):
 def test_clean_documents_keep_rare_words(spark):
     """A rare word beside an address is masked there, not in documents without the address."""
     fill = "common words about the open field and mail "
-    rows = [(i, fill) for i in range(298)] + [(298, fill + "zyzzyva"), (299, "q@corp.example " + fill + "zyzzyva")]
+    rows = [(i, fill) for i in range(2000)] + [(2000, fill + "zyzzyva"), (2001, "q@corp.example " + fill + "zyzzyva")]
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert clean[299] == "[EMAIL] " + fill + "[WORD]" and clean[298] == fill + "zyzzyva"
+    assert clean[2001] == "[EMAIL] " + fill + "[WORD]" and clean[2000] == fill + "zyzzyva"
+
+
+def test_terms_equal_a_plain_count(spark, sf, monkeypatch):
+    """Every (term, entity) pair scored by counts in plain Python; then with shuffles for broadcasts."""
+    import collections
+    import math
+
+    import regex
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    spans = {r.doc_id: brute(r.text) for r in rows}
+    term = regex.compile(r"(?<![\p{L}\p{M}\p{N}@._%+-])[\p{L}\p{M}\p{N}]++(?:[-'’][\p{L}\p{M}\p{N}]++)*+(?![@_%+-])")
+    words = {r.doc_id: {w.lower() for w in term.findall(r.text)} for r in rows}
+    held = {r.doc_id: {(k, r.text[a:b].lower()) for k, a, b in spans[r.doc_id]} for r in rows}
+    text = {r.doc_id: r.text for r in rows}
+    n_t = collections.Counter(w for ws in words.values() for w in ws)
+    n_e = collections.Counter(e for es in held.values() for e in es)
+    n_te = collections.Counter((w, e) for i, es in held.items() for e in es for w in words[i])
+    contexts = collections.defaultdict(set)
+    for i, es in held.items():
+        for e in es:
+            for w in words[i]:
+                contexts[w, e].add(text[i])
+
+    def share(w, e):
+        p = n_e[e] / len(rows)
+        c = len(contexts[w, e])
+        return 1 - math.log2((c * n_te[w, e] / n_t[w] + p) / (c + 1)) / math.log2(p)
+
+    want = {}
+    for i, es in held.items():
+        chosen = {w for w in words[i] if es and max(share(w, e) for e in es) >= pii.GENERALISE}
+        places = [(m.start(), m.end()) for m in term.finditer(text[i]) if m.group().lower() in chosen]
+        want[i] = [(a, b) for a, b in places if not any(x < b and a < y for _, x, y in spans[i])]
+    assert sum(map(len, want.values())) > 100
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for limit in (pii.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+        got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind in pii.TERM_KINDS) for r in pii.find(docs).collect()}
+        assert got == want
+    masked = pii.sanitise(docs)
+    assert masked.count() == len(rows) and all(r.text == text[r.doc_id] for r in masked.collect() if not spans[r.doc_id])

@@ -40,6 +40,8 @@ from .quality import crc_mod
 SAMPLE = 20_000
 #: Terms that a task counts before it passes its sums on.
 FLUSH = 100_000
+#: Terms that the driver weighs, a bound of the fit whatever the length of its texts.
+MOST_TERMS = 1_000_000
 #: Lengths of word beginnings that may become terms.
 PREFIXES = (4, 5, 6, 7)
 #: Least number of toxic documents with a term, and least log ratio. The least
@@ -180,8 +182,9 @@ def level_of(toxic: list[float], clean: list[float]) -> float:
     return float(v[best + 1] / 2) if v[best] == 0 else float((v[best] + v[best + 1]) / 2)
 
 
-def _counted(rows: DataFrame, count) -> dict[tuple[str, int], int]:
-    """Sums of each partition's counters (term, label) over all partitions."""
+def _counted(rows: DataFrame, count, least: int = SUPPORT) -> dict[tuple[str, int], int]:
+    """Sums of each partition's counters (term, label) over all partitions, of terms in
+    ``least`` documents or more, the most frequent ``MOST_TERMS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -200,12 +203,14 @@ def _counted(rows: DataFrame, count) -> dict[tuple[str, int], int]:
         yield sums()
 
     found = rows.select("text", "label").mapInArrow(run, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n"))
-    return {(r.term, r.label): r.n for r in found.filter(F.col("n") >= SUPPORT).collect()}
+    found = found.filter(F.col("n") >= least).orderBy(F.desc("n"), "term", "label").limit(MOST_TERMS)
+    return {(r.term, r.label): r.n for r in found.collect()}
 
 
 def _one_of_each(rows: DataFrame, sketches: int = 8) -> list[int]:
-    """Ids of the rows less near copies, whose rare words would look like evidence:
-    one that shares any of ``sketches`` MinHash values with an earlier one of its label goes."""
+    """Ids of the rows less near copies, whose rare words would look like evidence: one
+    that shares all of ``sketches`` MinHash values but one with an earlier one of its
+    label goes, which takes a similarity of about 0.8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,13 +220,23 @@ def _one_of_each(rows: DataFrame, sketches: int = 8) -> list[int]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists], names=["_id", "label", "sig"])
 
     found = rows.select("_id", "text", "label").mapInArrow(run, "_id long, label int, sig array<long>").collect()
-    seen: set[tuple[int, int, int]] = set()
+    return unlike(sorted((r._id, r.label, tuple(r.sig)) for r in found))
+
+
+def unlike(rows: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
+    """Ids of the rows (id, label, sketch) less those whose sketch differs in one value
+    at most from an earlier one of their label. Such two agree on a whole half."""
+    halves: dict[tuple, list[tuple[int, ...]]] = {}
     kept = []
-    for r in sorted(found, key=lambda r: (r._id, r.label, r.sig)):
-        marks = [(r.label, k, v) for k, v in enumerate(r.sig)]
-        if not seen.intersection(marks):
-            kept.append(r._id)
-            seen.update(marks)
+    for i, label, sig in rows:
+        middle = len(sig) // 2
+        keys = [(label, 0, sig[:middle]), (label, 1, sig[middle:])]
+        like = {other for k in keys for other in halves.get(k, ())}
+        if any(sum(a != b for a, b in zip(sig, other, strict=True)) <= 1 for other in like):
+            continue
+        kept.append(i)
+        for k in keys:
+            halves.setdefault(k, []).append(sig)
     return kept
 
 
@@ -252,8 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 out.add(f" {a} {b} ")
         return out
 
-    around = _counted(rows, pairs)
-    exceptions = frozenset(t for (t, y), k in around.items() if y == 0 and (t, 1) not in around and 2 * k * math.log((n[0] + n[1]) / n[0]) >= 4)
+    around = _counted(rows, pairs, 1)  # one toxic document with a phrase is enough to rule it out
+    exceptions = frozenset(t for (t, y), k in around.items() if y == 0 and k >= SUPPORT and (t, 1) not in around and 2 * k * math.log((n[0] + n[1]) / n[0]) >= 4)
     lexicon = Lexicon(terms, exceptions)
     dense: dict[int, list[float]] = {0: [], 1: []}
     for r in _densities(rows, lexicon).collect():

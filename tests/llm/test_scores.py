@@ -90,3 +90,112 @@ def test_learned_terms_are_those_of_toxic_texts(spark):
     assert np.mean([got[i] == y for i, y in labels]) > 0.99
     kept = docs.filter(~toxicity._is_toxic(lex)("text")).count()
     assert kept == sum(1 for v in got.values() if v == 0)
+
+
+def test_only_near_copies_are_left_out_of_the_fit():
+    a, b = tuple(range(8)), tuple(range(100, 108))
+    one_off, two_off, shared = (*a[:3], 77, *a[4:]), (*a[:3], 77, 78, *a[5:]), (*a[:1], *b[1:])
+    assert toxicity.unlike([(1, 0, a), (2, 0, a), (3, 0, one_off), (4, 0, two_off), (5, 1, a), (6, 0, b), (7, 0, shared), (8, 0, (9, *b[1:]))]) == [1, 4, 5, 6]
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(2)), tuple(rng.integers(0, 2, 8).tolist())) for i in range(400)]
+    kept = []
+    for i, y, s in rows:
+        if not any(y == z and sum(p != q for p, q in zip(s, o, strict=True)) <= 1 for _, z, o in kept):
+            kept.append((i, y, s))
+    assert toxicity.unlike(rows) == [i for i, _, _ in kept]
+
+
+def test_a_phrase_of_one_toxic_document_is_no_exception(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(300):
+        w = rng.choice(vocab, 30).tolist()
+        bad = i % 3 == 0
+        if bad:
+            w[4:5] = ["zonkhead"]
+        elif i % 10 == 1:
+            w[4:6] = ["zonkhead", "statue"]
+        elif i % 10 == 2:
+            w[4:6] = ["zonkhead", "museum"]
+        if i == 0:
+            w[4:6] = ["zonkhead", "statue"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    old = toxicity.WEIGHT
+    toxicity.WEIGHT = 1.0
+    try:
+        lex = toxicity.train(docs, marks)
+    finally:
+        toxicity.WEIGHT = old
+    assert any(t.startswith(" zonk") for t in lex.terms)
+    assert " zonkhead museum " in lex.exceptions and " zonkhead statue " not in lex.exceptions
+
+
+# --- the fits again, in plain Python ---
+
+
+def plain_pairs(x, y, seed=11):
+    """Bradley-Terry weights by gradient ascent, from the same pairs that the fit draws."""
+    z = quality.expand(x)
+    mean, scale = z.mean(axis=0), z.std(axis=0) + 1e-6
+    z = np.clip((z - mean) / scale, -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng = np.random.default_rng(seed)
+    m = min(quality.PAIRS, 50 * len(y))
+    d = z[rng.choice(good, m)] - z[rng.choice(bad, m)]
+    w = np.zeros(d.shape[1])
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+        g = d.T @ p / m - quality.RIDGE * w
+        if np.abs(g).max() < 1e-7:
+            break
+        w += 0.2 * g
+    return w, p
+
+
+def test_quality_scores_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(1)
+    words = ["plain", "words", "of", "some", "length", "BUY", "NOW", "$$$", "%%%", "a"]
+    texts = [" ".join(rng.choice(words[:5] if k % 2 else words[3:], 20 + k % 7)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 1) if k % 9 else int(k % 2 == 0)) for k in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    raw = [t.encode() for t in texts]
+    x = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    y = np.array([r.quality for r in sorted(labels.collect())])
+    order = np.lexsort([*x.T, y])
+    w, _ = plain_pairs(x[order], y[order])
+    s = np.clip((quality.expand(x) - model.mean) / model.scale, -8, 8) @ w
+    cuts = np.unique(np.quantile(s, np.unique(np.concatenate([np.linspace(0, 1, 401), [np.mean(y == 0)]]))))
+    right = [np.mean(s[y == 1] >= t) + np.mean(s[y == 0] < t) for t in cuts]
+    best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
+    want = 1 / (1 + np.exp(-np.clip((s - (cuts[best[0]] + cuts[best[-1]]) / 2) / max(s.std() / 4, 1e-6), -30, 30)))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.allclose([got[k] for k in range(60)], want, atol=0.02)
+
+
+def test_toxicity_scores_equal_plain_matching(spark):
+    """Terms, exceptions and length norm by a search of every term at every place."""
+    lex = toxicity.Lexicon({" idiot": 5.0, " idiots ": 6.0, " scum ": 4.0, " zonk": 3.5}, frozenset({" scum line ", " zonk zonk "}), level=0.3)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["idiot", "IDIOTS", "idiotic", "scum", "line", "Z0nk", "zonked", "plain", "x,y"], int(rng.integers(0, 25)))) for _ in range(200)] + [None, ""]
+
+    def plain(text):
+        f = toxicity.fold(text or "")
+        heaviest: dict = {}
+        for t, w in lex.terms.items():
+            for k in range(len(f)):
+                if f.startswith(t, k):
+                    heaviest[k] = max(heaviest.get(k, 0.0), w)
+        for t in lex.exceptions:
+            for k in range(len(f)):
+                if f.startswith(t, k):
+                    heaviest = {p: w for p, w in heaviest.items() if not k <= p < k + len(t) - 1}
+        d = sum(heaviest.values()) / np.sqrt(f.count(" ") + 1)
+        return 1 / (1 + np.exp(-np.clip(lex.slope * (np.log1p(d) - np.log1p(lex.level)), -30, 30)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lex).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], [plain(t) for t in texts])

@@ -291,10 +291,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: keep one document of each group, on five-word shingles at 0.8."""
-    found = near_duplicates(docs, shingle_size=5, percent=80)
-    keep = found.filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """Pipeline: keep one document of each group, on five-word shingles at 0.8.
+
+    A row without an id goes by a number made from its text, above all ids, so that
+    copies among such rows, and of other documents, go as well. Of rows with one id
+    and one text one stays; rows of one id with different texts are one document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    made = F.xxhash64(text).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), made))
+    found = cut(near_duplicates(keyed.select(F.col("__id").alias("doc_id"), "text"), shingle_size=5, percent=80).filter("kept"))
+    keep = found.select(F.col("doc_id").alias("__id")).distinct()
+    repeated = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
+    repeated = cut(repeated)
+    rows = keyed.join(keep, "__id", "left_semi")
+    if not repeated.isEmpty():
+        few = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+        twice = rows.join(few, "__id", "left_semi").withColumn("__text", F.sha2(text, 256)).dropDuplicates(["__id", "__text"])
+        rows = rows.join(few, "__id", "left_anti").unionByName(twice.drop("__text"))
+    return rows.select(*docs.columns)
 
 
 ORACLE = """

@@ -61,6 +61,12 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toString()
 
 
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete what was written to ``path`` and isn't needed any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 # --- text as bytes -----------------------------------------------------------
 
 

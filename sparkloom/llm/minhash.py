@@ -19,6 +19,8 @@ Steps, each linear in rows apart from the links themselves:
    a block returns a root per member, not pairs. Members joined this way form
    families; inside a family, full sets are compared block against block, pairs
    that are in one component by then are skipped, and only links leave a task.
+   Blocks of one component never meet, so a large group of near copies costs its
+   size times the rows near it that it hasn't been joined with, not its square.
 5. Components of all links; copies take the component of their set.
 
 Defined cases: null, empty or blank texts have an empty set (0 shingles) and
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, mix64, shingle_sets, table, text_runs
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80, b
     roots = connected_components(links)
 
     placed = shared.select("key", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
     near = _near_roots(placed.join(mixed, "key").join(sigs, "doc_id"), least)
     families = connected_components(near)
     links = links.unionByName(_family_links(families, roots, sets, sigs, least, percent))
@@ -212,17 +214,41 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80, b
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _spread(rows: DataFrame, group: str, cols: list[str]) -> DataFrame:
-    """Rows of a group of n ``blocks``, each to the n block pairs it belongs to,
-    so that no task holds more than two blocks."""
-    salted = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
-    spread = salted.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return spread.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", *cols)
+def _spread(rows: DataFrame, group: str, cols: list[str], most: int, weight: Column | None = None, heaviest: int = 1) -> DataFrame:
+    """Rows of each group dealt to pairs of blocks (i, j) of at most about ``most`` rows
+    (and ``heaviest`` of ``weight``), so that rows of different roots meet in a task.
+
+    A root with more than a block of rows has blocks of its own, which never meet each
+    other; the rest share blocks. A large component thus meets the few rows outside
+    of it at a cost in proportion to its size, and a group of one root isn't dealt at all."""
+    heavy = F.sum(weight if weight is not None else F.lit(0)).alias("w")
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(most)), F.ceil(w / F.lit(heaviest))).cast("int")
+    of_root = rows.groupBy(group, "root").agg(F.count("*").alias("n"), heavy).withColumn("nb", blocks(F.col("n"), F.col("w")))
+    own = F.col("nb") > 1
+    parts = of_root.groupBy(group).agg(
+        F.count("*").alias("roots"),
+        blocks(F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~own, F.col("w"))), F.lit(0))).alias("shared"),
+        F.collect_list(F.when(own, F.struct("root", "nb"))).alias("large"),
+    )
+    parts = parts.filter("roots > 1").withColumnRenamed(group, "_g")
+    rows = rows.join(parts, F.col(group) == F.col("_g")).drop("_g")
+    mine = F.filter("large", lambda x: x["root"] == F.col("root"))
+    salt = lambda n: F.pmod(F.xxhash64("doc_id"), n.cast("long")).cast("int")
+    block = lambda large, root, k: F.struct(large.alias("large"), root.alias("root"), k.alias("k"))
+    none = F.lit(0).cast("long")
+    rows = rows.withColumn("mine", mine)
+    rows = rows.withColumn("own", F.when(F.size("mine") > 0, block(F.lit(True), F.col("root"), salt(F.col("mine")[0]["nb"]))).otherwise(block(F.lit(False), none, salt(F.col("shared")))))
+    shared = F.when(F.col("shared") > 0, F.transform(F.sequence(F.lit(0), F.col("shared") - 1), lambda k: block(F.lit(False), none, k))).otherwise(F.array().cast("array<struct<large:boolean,root:bigint,k:int>>"))
+    others = F.filter("large", lambda x: x["root"] != F.col("root"))
+    large = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["nb"] - 1), lambda k: block(F.lit(True), x["root"], k))))
+    rows = rows.withColumn("other", F.explode(F.concat(shared, large)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select(group, i.alias("i"), j.alias("j"), (F.col("own") == i).alias("left"), (i == j).alias("alone"), "doc_id", *cols)
 
 
 def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    block, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    return np.flatnonzero(block == i), np.flatnonzero(block == j), i == j
+    alone, left = group.column("alone")[0].as_py(), group.column("left").to_numpy()
+    return np.flatnonzero(left), np.flatnonzero(left if alone else ~left), alone
 
 
 def _near_roots(rows: DataFrame, least: int) -> DataFrame:
@@ -246,7 +272,7 @@ def _near_roots(rows: DataFrame, least: int) -> DataFrame:
         linked = np.flatnonzero(low[parent] != ids)
         return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(low[parent][linked], pa.int64())})
 
-    return _spread(rows, "key", ["root", "sig"]).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return _spread(rows, "key", ["root", "sig"], BLOCK).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
@@ -254,8 +280,6 @@ def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame, sigs:
     of_root = roots.select(F.col("node").alias("doc_id"), F.col("root"))
     member = families.select(F.col("node").alias("doc_id"), F.col("root").alias("family")).join(of_root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     member = member.join(sets, "doc_id").join(sigs, "doc_id")
-    size = F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum(F.size("shingles")) / FAMILY_SHINGLES)).cast("int").alias("blocks")
-    blocks = member.groupBy("family").agg(size)
 
     def run(group: pa.Table) -> pa.Table:
         ids, label = group.column("doc_id").to_numpy(), group.column("root").to_numpy().copy()
@@ -282,7 +306,7 @@ def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame, sigs:
                     label[label == label[k]] = label[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    spread = _spread(member.join(blocks, "family"), "family", ["root", "sig", "shingles"])
+    spread = _spread(member, "family", ["root", "sig", "shingles"], FAMILY_BLOCK, F.size("shingles"), FAMILY_SHINGLES)
     return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 

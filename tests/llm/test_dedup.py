@@ -159,6 +159,34 @@ def test_texts_equal_brute_force(spark, k):
     assert all(got[i].kept == (root[i] == i) for i in range(len(texts)))
 
 
+def test_blocks_of_families_lose_no_link(spark, monkeypatch):
+    """Small blocks: large components have blocks of their own, the rest share theirs."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 5)
+    monkeypatch.setattr(minhash, "FAMILY_SHINGLES", 900)
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(2000)]
+    texts = []
+    for edits in (3, 6, 8, 9, 10):
+        texts += family(rng, vocab, 100, 30, edits)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle_size=2).collect()}
+    assert [got[i] for i in range(len(texts))] == text_brute(texts, 2)[1]
+
+
+def test_blocks_of_one_component_never_meet(spark):
+    rows = [(7, i, 0 if i < 900 else i) for i in range(905)] + [(8, i, 3) for i in range(1000, 1400)]
+    df = spark.createDataFrame(rows, "g long, doc_id long, root long")
+    spread = minhash._spread(df, "g", ["root"], 100)
+    assert spread.count() == 900 + 5 * (9 + 1) and spread.filter("g = 8").count() == 0
+    tasks = {}
+    for r in spread.collect():
+        tasks.setdefault((r.i, r.j), []).append(r)
+    assert len(tasks) == 10 and max(map(len, tasks.values())) <= 160
+    met = {(x.doc_id, y.doc_id) for t in tasks.values() for x in t for y in t}
+    assert all((a, b) in met for a in range(905) for b in range(900, 905))
+
+
 def test_text_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (2, "a b c"), (7, None)], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 2).collect()}

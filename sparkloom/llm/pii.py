@@ -355,3 +355,24 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: personal data and revealing terms masked in every document."""
     return sanitise(docs)
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the query that SQL can express."""
+    return query(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in KINDS))
+
+
+ORACLE_COUNTS = r"""
+WITH m AS (SELECT doc_id,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email,
+    regexp_extract_all(coalesce(text, ''), '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+    list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone
+  FROM documents)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+  len(list_filter(ip, lambda x: coalesce(list_bool_and(list_transform(string_split(x, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false))), false)))::BIGINT AS n_ip,
+  len(list_filter(list_filter(card, lambda d: len(d) BETWEEN 16 AND 19), lambda d: list_sum(list_transform(range(1, len(d) + 1), lambda i:
+    CASE WHEN (len(d) - i) % 2 = 0 THEN d[i::INT]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][d[i::INT]::INT + 1] END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda d: len(d) BETWEEN 8 AND 15))::BIGINT AS n_phone
+FROM m
+"""

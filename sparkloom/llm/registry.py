@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
         "op9_token_files": token_files.query,
         "op10_toxicity": toxicity.query,
         "media_payloads": media_gif.payloads,
+        "pii_counts": pii.counts,
     }.items()
 }
 ORACLE: dict[str, str] = {
@@ -43,4 +44,5 @@ ORACLE: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "media_payloads": media_gif.ORACLE_PAYLOADS,
+    "pii_counts": pii.ORACLE_COUNTS,
 }

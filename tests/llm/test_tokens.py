@@ -19,6 +19,15 @@ def test_words_equal_the_library(text):
         assert np.frombuffer(enc.encode([t.encode()])[0], "<u4").tolist() == W.encode(t, add_special_tokens=False).ids
 
 
+def test_other_files_are_encoded_whole_or_refused():
+    enc = token_files.WordEncoder(bpe.default_path())
+    assert token_files.WordEncoder(token_files.default_path()).apart and not enc.apart
+    text = "a  b\n\n  Hello WORLD"
+    assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == Tokenizer.from_file(bpe.default_path()).encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(token_files.default_path())
+
+
 def docs(spark):
     texts = {9: "hello world", 3: None, 5: "", 7: "x" * 30_000 + " y", 4: "Hello, HELLO\n\nagain", 2: "a b c", 1: "a b c"}
     rows = [(i, t, 0, "c") for i, t in texts.items()]
@@ -61,10 +70,12 @@ def test_files_of_nothing_and_null_ids(spark, tmp_path):
 # --- counts ---
 
 
+LIBRARY = Tokenizer.from_file(bpe.default_path())
+
+
 def brute(text, rule):
-    """Sections' token counts by the library's offsets in bytes."""
-    v = bpe.Vocabulary(bpe.default_path())
-    ids = bpe.Encoder(v).encode([text.encode()])[0]
+    """Sections' token counts by the library's tokens: each character of one is a byte."""
+    sizes = [len(LIBRARY.id_to_token(i)) for i in LIBRARY.encode(text, add_special_tokens=False).ids]
     lines = text.encode().split(b"\n")
     spans, at = [], 0
     for k, line in enumerate(lines):
@@ -73,8 +84,8 @@ def brute(text, rule):
             spans.append((at, end))
         at = end
     n, p = [0] * len(spans), 0
-    for t in ids.tolist():
-        q = p + len(v.tokens[t])
+    for size in sizes:
+        q = p + size
         share = [max(0, min(q, b) - max(p, a)) for a, b in spans]
         hit = [k for k, s in enumerate(share) if s]
         n[share.index(max(share)) if rule == "majority" else hit[0] if rule == "first" else hit[-1]] += 1

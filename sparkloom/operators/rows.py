@@ -77,10 +77,14 @@ class Reduce(Operation):
         """Partial rows of ``combine``."""
         return each_batch(df, self.combine, self.combine_schema)
 
+    def whole(self, df: DataFrame) -> DataFrame:
+        """The function on each partition, of partial rows if there is a ``combine``."""
+        return whole_partition(df, self.action, self.schema)
+
     def run(self, df: DataFrame) -> DataFrame:
         if self.declarative:
             return self.aggregate(df, None)
-        return whole_partition(df, self.action, self.schema)
+        return self.whole(df if self.combine is None else self.partial(df))
 
     def explain(self) -> str:
         return f"Reduce ({_name(self.action)})"

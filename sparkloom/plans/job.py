@@ -72,7 +72,7 @@ class Job:
         """The opaque Reduce with a combine that is all a stage's exchange serves: first
         operator behind the deciding Groupby, itself the first of the only child."""
         children = [self.stages[c] for p, c in self.dependencies if p == stage]
-        if len(children) == 1 and len(ops := children[0]) > 1 and ops[0] is by and isinstance(ops[1], Reduce) and ops[1].combine is not None:
+        if isinstance(by, Groupby) and len(children) == 1 and len(ops := children[0]) > 1 and ops[0] is by and isinstance(ops[1], Reduce) and ops[1].combine is not None:
             return ops[1]
         return None
 
@@ -81,19 +81,21 @@ class Job:
         parent = {c: p for p, c in self.dependencies}
         out: dict[int, DataFrame] = {}
         ranged: dict[int, Operation | None] = {}  # what decided an exchange of n partitions
+        combined: dict[int, Reduce | None] = {}  # whose partial rows an exchange dealt
         for s in self.order():
             ops = self.stages[s]
             if s in parent:
-                out[s] = self._apply(ops, out[parent[s]], ranged.get(parent[s]))
+                out[s] = self._apply(ops, out[parent[s]], ranged.get(parent[s]), combined.get(parent[s]))
             else:
                 if not ops[0].is_source:
                     raise ValueError(f"stage {s} has neither a parent nor a source")
-                out[s] = self._apply(ops[1:], ops[0].read(spark), None)
+                out[s] = self._apply(ops[1:], ops[0].read(spark))
             if isinstance(ops[-1], Exchange):
                 by = self._deciding(s, out[s].columns)
                 ranged[s] = by if ops[-1].fixed else None
-                if reduce := self._combining(s, by):
-                    out[s] = reduce.partial(out[s])
+                combined[s] = self._combining(s, by)
+                if combined[s] is not None:
+                    out[s] = combined[s].partial(out[s])
                 if not self._left_to_catalyst(s, by):
                     out[s] = ops[-1].deal(out[s], by)
         return out
@@ -110,8 +112,9 @@ class Job:
         after = ops[ops.index(by) + 1 :]
         return bool(after) and isinstance(after[0], Reduce) and after[0].declarative
 
-    def _apply(self, ops: list[Operation], df: DataFrame, ranged: Operation | None) -> DataFrame:
-        """``ranged``: the operator by whose key an exchange of n partitions dealt the rows."""
+    def _apply(self, ops: list[Operation], df: DataFrame, ranged: Operation | None = None, combined: Reduce | None = None) -> DataFrame:
+        """``ranged``: the operator by whose key an exchange of n partitions dealt the
+        rows; ``combined``: the Reduce whose partial rows they are."""
         key, moved = None, False
         for k, op in enumerate(ops):
             if isinstance(op, Scan):
@@ -125,6 +128,8 @@ class Job:
                 df, moved = (op.run_in_partitions(df), moved) if op is ranged and not moved else (op.run(df), True)
             elif isinstance(op, Reduce) and op.declarative:
                 df, key, moved = op.aggregate(df, key), None, True
+            elif op is combined:
+                df = op.whole(df)
             else:
                 df = op.run(df)
         return df

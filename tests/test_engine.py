@@ -320,6 +320,8 @@ def test_combine_before_the_exchange(spark):
     plans = job.plan(spark)
     assert plans[0].count() <= 11 * (30_000 // 1000 + 4)
     assert sorted(map(tuple, plans[1].collect())) == sorted(map(tuple, df.groupBy("k").sum("v").collect()))
+    alone = sl.Reduce(lambda f: f.groupby("k", as_index=False).n.sum(), "k long, n long", combine=lambda f: f.groupby("k", as_index=False).size().rename(columns={"size": "n"}), combine_schema="k long, n long")
+    assert sorted(map(tuple, alone.run(df.coalesce(1)).collect())) == sorted(map(tuple, df.groupBy("k").count().collect()))
     with pytest.raises(ValueError):
         sl.Reduce(add, "k long", combine=add)
 

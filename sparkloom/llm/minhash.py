@@ -180,11 +180,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b").distinct()
 
 
+def _one_each(signed: DataFrame) -> DataFrame:
+    """``signed`` with one row of those that share id and set, so that rows that are
+    repeated very often don't multiply in the joins on the id."""
+    twice = cut(signed.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest"))
+    if twice.isEmpty():
+        return signed
+    few = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+    keys = ["doc_id", "digest"]
+    return signed.join(few, keys, "left_anti").unionByName(signed.join(few, keys, "left_semi").dropDuplicates(keys).select(*signed.columns))
+
+
 def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = cut(sign(docs, shingle_size, bands, rows))
     least = least_agreement(bands * rows, percent)
-    some = signed.filter("n_shingles > 0 and doc_id is not null")
+    some = _one_each(signed.filter("n_shingles > 0 and doc_id is not null"))
     # One row per shingle set: min() is pre-aggregated, so copies never meet in one task.
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     sole = some.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")

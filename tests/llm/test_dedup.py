@@ -194,6 +194,17 @@ def test_text_edges(spark):
     assert minhash.near_duplicates(df.limit(0), 2).count() == 0
 
 
+def test_repeated_rows_and_missing_ids_in_the_stage(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base + " end"
+    rows = [(None, base)] * 30 + [(7, near)] * 5 + [(8, base)] + [(None, "alone here among all the others")] * 3 + [(9, "x y z"), (9, "other words of one id")] + [(None, None), (None, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted(((r.doc_id, r.text) for r in minhash.stage(spark, df, "").collect()), key=str)
+    assert out == sorted([(7, near), (None, "alone here among all the others"), (9, "x y z"), (9, "other words of one id"), (None, None), (None, ""), (5, "")], key=str)
+    found = minhash.near_duplicates(df.filter("doc_id is not null"), 5).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5)] + [(7, 7)] * 5 + [(8, 7), (9, 9), (9, 9)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)

@@ -28,7 +28,7 @@ Defined cases: null text is empty and has no spans; kinds may overlap, spans of
 kind don't; overlapping spans are masked as one; null ids are kept; repeated
 rows each get their spans; other columns are kept by ``sanitise``, whose result
 has the input's columns. Texts are never shuffled unless more than
-``BROADCAST_ROWS`` rows need their spans, and then only those that can have any. A text with n matches costs n * sqrt(n)
+``BROADCAST_BYTES`` of spans are to be joined to them, and then only those that can have any. A text with n matches costs n * sqrt(n)
 small steps at most; no step copies what it has made so far for each match.
 """
 
@@ -42,7 +42,8 @@ from .common import cut, table
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
 GENERALISE, REMOVE, PRIOR = 0.8, 0.95, 1.0
-BROADCAST_ROWS = 100_000
+#: Bytes of a table, as text, up to which it is broadcast instead of shuffled.
+BROADCAST_BYTES = 8 << 20
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -214,9 +215,14 @@ def revealing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENER
     return masks.select("doc_id", "h", "term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
 
 
+def _is_small(df: DataFrame) -> bool:
+    """Whether the rows, written out, take ``BROADCAST_BYTES`` at most, whatever they hold."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def _few(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if it has at most ``BROADCAST_ROWS`` rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _is_small(df) else df
 
 
 def _may_hold(t: Column) -> Column:
@@ -340,8 +346,9 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     found = cut(found.select(F.col("doc_id").alias("__pii_id"), F.col("h").alias("__pii_h"), F.col("spans").alias("__pii_spans")).dropDuplicates(["__pii_id", "__pii_h"]))
     plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id")) & (F.xxhash64(plain) == F.col("__pii_h"))
-    if found.count() <= BROADCAST_ROWS or thresholds.get("elsewhere") is not None:
-        both = docs.join(_few(found), same, "left")
+    few = _is_small(found)
+    if few or thresholds.get("elsewhere") is not None:
+        both = docs.join(F.broadcast(found) if few else found, same, "left")
     else:  # only texts that can have spans are shuffled
         rest = docs.filter(~_may_hold(plain)).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in found.columns})
         both = docs.filter(_may_hold(plain)).join(found, same, "left").unionByName(rest)

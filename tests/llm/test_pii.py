@@ -217,8 +217,8 @@ def test_terms_equal_a_plain_count(spark, sf, monkeypatch):
         want[i] = [(a, b) for a, b in places if not any(x < b and a < y for _, x, y in spans[i])]
     assert sum(map(len, want.values())) > 100
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for limit in (pii.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    for limit in (pii.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
         got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind in pii.TERM_KINDS) for r in pii.find(docs).collect()}
         assert got == want
     masked = pii.sanitise(docs)

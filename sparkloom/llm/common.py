@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import ctypes
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy_driver(df.sparkSession)
+    return out
 
 
 def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
@@ -105,11 +109,50 @@ def tidy() -> None:
     global _tidied
     _tidied += 1
     if _tidied % 8 == 0:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Seconds from one tidying of the driver to the next; one takes about 0.05 s.
+TIDY_DRIVER_S = 5.0
+_driver_tidied = -math.inf
+
+
+def tidy_driver(spark: SparkSession) -> None:
+    """Gives memory that the driver's JVM and Python have freed back to the system.
+
+    The JVM compiles the code of every plan, in native memory that it frees and its C
+    library keeps. Plans with many steps thus hold hundreds of MB outside of the heap,
+    which no garbage collection returns."""
+    global _driver_tidied
+    if time.monotonic() - _driver_tidied < TIDY_DRIVER_S:
+        return
+    _trim()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind, values: list):
+        out = gateway.new_array(kind, len(values))
+        for k, v in enumerate(values):
+            out[k] = v
+        return out
+
+    try:
+        of = jvm.java.lang.Class.forName
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, [of(k) for k in kinds]))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call = [commands, "systemTrimNativeHeap", array(jvm.java.lang.Object, []), array(jvm.java.lang.String, [])]
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, call))
+    except Py4JError:  # a JVM without this command
+        pass
+    _driver_tidied = time.monotonic()
 
 
 def text_runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

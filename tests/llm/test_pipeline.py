@@ -1,10 +1,12 @@
 import hashlib
+import re
+from pathlib import Path
 
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkloom.llm import bpe, minhash, mixing, pii, toxicity
+from sparkloom.llm import bpe, common, minhash, mixing, pii, toxicity
 from sparkloom.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +77,22 @@ def test_clashing_columns_are_kept(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert all(r[n] == n for r in out.select(*names).collect() for n in names)
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="memory is read from /proc")
+def test_checkpoints_give_back_native_memory_of_the_driver(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    mb = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+    monkeypatch.setattr(common, "_driver_tidied", float("-inf"), raising=False)
+    common.cut(spark.range(1))
+    before = mb()
+    native = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # zlib allocates outside of the heap
+    held = mb() - before
+    for d in native[:-1]:  # the last keeps the C library from returning what lies below it
+        d.end()
+    freed = mb()
+    monkeypatch.setattr(common, "_driver_tidied", float("-inf"), raising=False)
+    common.cut(spark.range(1))
+    native[-1].end()
+    assert held > 30 and freed - mb() > held / 2

@@ -18,7 +18,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, shared_path, ship_package  # noqa: F401
+from ..session import remove_shared, shared_dir, shared_path, ship_package  # noqa: F401
 
 U64 = np.uint64
 #: Bytes that end a word: space and 0x09-0x0D.
@@ -65,12 +65,6 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toString()
 
 
-def remove_shared(spark: SparkSession, path: str) -> None:
-    """Delete what was written to ``path`` and isn't needed any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 # --- text as bytes -----------------------------------------------------------
 
 

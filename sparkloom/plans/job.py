@@ -151,7 +151,7 @@ class Job:
         for s in ends:
             last, df = self.stages[s][-1], frames[s]
             if isinstance(last, Collect):
-                sinks[s] = Result(df, rows=df.toPandas())
+                sinks[s] = Result(df, rows=last.collect(df))
             elif isinstance(last, Write):
                 sinks[s] = Result(df, path=last.write(df, self._source(s)))
             else:

@@ -180,11 +180,15 @@ def exchange_range_rows(spark, sf_dir):
     return parts.withColumn("apart", F.coalesce(F.col("low") >= before, F.lit(True))).agg(F.sum("n").alias("n"), F.bool_and("apart").alias("disjoint"))
 
 
+def _size(df: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"n": [len(df)]})
+
+
 def collect_partition_rows(spark, sf_dir):
-    """Rows that the sink brought to the driver."""
+    """Rows that the sink brought to the driver, which holds a slice of them at a time."""
     job = Job().add(0, Scan(_path(sf_dir, "orders"))).add(0, Transform(["o_custkey"])).add(0, Exchange(8))
-    rows = job.add(1, Groupby("o_custkey")).add(1, Collect()).dependency(0, 1).run(spark).rows
-    return spark.createDataFrame([(len(rows),)], "n long")
+    rows = job.add(1, Groupby("o_custkey")).add(1, Collect(_size)).dependency(0, 1).run(spark).rows
+    return spark.createDataFrame([(int(rows.n.sum()),)], "n long")
 
 
 def collect_rows(spark, sf_dir):

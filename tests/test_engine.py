@@ -1,3 +1,7 @@
+import tracemalloc
+from pathlib import Path
+from urllib.parse import urlparse
+
 import duckdb
 import pandas as pd
 import pytest
@@ -334,6 +338,55 @@ def test_several_sinks(spark, terasort, tmp_path):
     assert sum(found.sinks[3].counts.values()) == 5000 == sum(found.counts.values())
 
 
+def test_collected_rows_do_not_fill_the_driver(spark, tmp_path, monkeypatch):
+    """All rows come to the driver, of which it holds a slice; one key has most of them."""
+    rows = 400_000
+    spark.range(rows).selectExpr("IF(id % 10 > 0, 7, id) AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr("sparkloom.operators.collect.SLICE_BYTES", 1 << 19)
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        n = q.QUERIES["collect_partition_rows"](spark, str(tmp_path))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+    assert n.first().n == rows and peak < 8 << 20, peak
+
+
+def test_collect_hands_slices_over_in_order(spark, monkeypatch):
+    monkeypatch.setattr("sparkloom.operators.collect.SLICE_BYTES", 40_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    sizes = []
+
+    def keep(f):
+        sizes.append(len(f))
+        return f
+
+    try:
+        df = spark.range(0, 30_000, 1, 3).selectExpr("id", "IF(id % 7 = 0, NULL, concat('é', id)) AS s", "timestamp_ntz'2024-01-01 00:00:00' AS t", "array(id) AS a", "id AS id")  # a name twice
+        sort = sl.Job().add(0, sl.Scan("x.parquet")).add(0, sl.Exchange(4))
+        sort.add(1, sl.Sort("s")).add(1, sl.Collect(keep)).dependency(0, 1)
+        sort.stages[0][0].read = lambda _: df.toDF("id", "s", "t", "a", "again")
+        got = sort.run(spark)
+        want = sorted((i for i in range(30_000) if i % 7), key=lambda i: f"é{i}".encode())
+        assert list(got.rows.id[: len(want)]) == want and set(got.rows.id[len(want) :]) == set(range(0, 30_000, 7))
+        assert (got.rows.again == got.rows.id).all() and got.rows.a.str[0].equals(got.rows.id)
+        assert len(sizes) > 10 and sum(sizes) == 30_000 and max(sizes) <= 3_000
+        sizes.clear()
+        twice = sl.Collect(keep).collect(df.limit(5))
+        assert twice.shape == (5, 5) and list(twice.columns) == ["id", "s", "t", "a", "id"]
+        none = sl.Collect(keep).collect(df.filter("t IS NULL"))
+        assert sizes == [5, 0] and list(none.columns) == ["id", "s", "t", "a", "id"]
+        assert sl.Collect(keep).collect(spark.range(40).repartition(1).selectExpr("concat(repeat('x', 15000), id) AS `a.b`")).shape == (40, 1) and set(sizes[2:]) <= {1, 2}
+        with pytest.raises(ZeroDivisionError):
+            sl.Collect(lambda f: 1 / 0).collect(df)
+        assert not list(Path(urlparse(spark.sparkContext.getCheckpointDir()).path).glob("collect-*"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
 def test_samples_by_columns_are_the_same_in_any_order(spark, sf):
     line = spark.read.parquet(f"{sf}/lineitem.parquet")
     take = sl.Sample("l_orderkey", 0.2, by=["l_orderkey", "l_linenumber", "l_partkey"])
